@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caskwise.functions.chars import consistent
 
@@ -17,7 +18,7 @@ from caskwise.functions.chars import consistent
 PLAIN = r"^[\x20-\x7e\n\r]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def consistent_udf(values: pd.Series) -> pd.Series:
     return values.map(consistent, na_action="ignore")
 

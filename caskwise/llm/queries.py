@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caskwise.llm.lexicon import mapped_classes
 from caskwise.llm.lookalike import inconsistent
 from caskwise.session import table
 
@@ -42,3 +43,9 @@ where nfc_normalize(value) <> value
 @query("p2_found", P2_SQL)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return inconsistent(spark, table(spark, d, "comparison_results"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    sources = {name: table(spark, d, name) for name in ("applications", "test_applications")}
+    return mapped_classes(spark, sources, table(spark, d, "class_reference"))
