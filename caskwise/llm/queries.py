@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caskwise.llm.addresses import same_location
 from caskwise.llm.lexicon import mapped_classes
 from caskwise.llm.lookalike import inconsistent
 from caskwise.session import table
@@ -49,3 +50,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     sources = {name: table(spark, d, name) for name in ("applications", "test_applications")}
     return mapped_classes(spark, sources, table(spark, d, "class_reference"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_location(table(spark, d, "applications"))
