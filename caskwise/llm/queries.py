@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from caskwise.llm.addresses import same_location
 from caskwise.llm.lexicon import mapped_classes
 from caskwise.llm.lookalike import inconsistent
+from caskwise.llm.names import same_names
 from caskwise.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +56,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return same_location(table(spark, d, "applications"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_names(table(spark, d, "applications"))
