@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caskwise.llm.addresses import same_location
+from caskwise.llm.leakage import leaked_items
 from caskwise.llm.lexicon import mapped_classes
 from caskwise.llm.lookalike import inconsistent
 from caskwise.llm.names import same_names
@@ -61,3 +62,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_names(table(spark, d, "applications"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
