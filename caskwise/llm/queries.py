@@ -10,7 +10,9 @@ from caskwise.llm.addresses import same_location
 from caskwise.llm.leakage import leaked_items
 from caskwise.llm.lexicon import mapped_classes
 from caskwise.llm.lookalike import inconsistent
+from caskwise.llm.mixing import mixed, sharded, shares
 from caskwise.llm.names import same_names
+from caskwise.llm.spam import spam_pages
 from caskwise.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +69,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p7_mix")
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixed(spark, table(spark, d, "documents"), table(spark, d, "source_weights"))
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(spark, p7_mix(spark, d), table(spark, d, "source_weights"))
+
+
+@query("p7_shards")
+def p7_shards(spark: SparkSession, d: str) -> DataFrame:
+    return sharded(spark, p7_mix(spark, d))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(table(spark, d, "documents"))
