@@ -62,12 +62,16 @@ _VOLUMES = [
 
 def volumes(text: Column) -> Column:
     """Millilitres of all volumes in a text."""
-    return F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x, f=f: x.cast("double") * f) for p, f in _VOLUMES))
+
+    def scaled(pattern: str, factor: float) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("double") * factor)
+
+    return F.concat(*(scaled(p, f) for p, f in _VOLUMES))
 
 
 def declared_volumes(declared: Column) -> Column:
     """Millilitres of the sizes that a declared value lists on its lines."""
-    lines = F.filter(F.transform(F.split(declared, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(declared, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     sizes = F.transform(lines, net_contents)
     return F.transform(F.filter(sizes, lambda s: s["value"].isNotNull()), lambda s: to_ml(s["value"], s["unit"]))
 
@@ -184,7 +188,7 @@ def contents_agree(found: Column, declared: Column) -> Column:
     """
     have = net_contents(found)
     ml = to_ml(have["value"], have["unit"])
-    lines = F.filter(F.transform(F.split(declared, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(declared, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     sizes = F.filter(F.transform(lines, net_contents), lambda s: s["value"].isNotNull())
     off = F.transform(sizes, lambda s: F.abs(ml - to_ml(s["value"], s["unit"])))
     near = F.exists(sizes, lambda s: F.abs(ml - to_ml(s["value"], s["unit"])) < F.when(s["unit"] != have["unit"], 5.0).otherwise(0.5))

@@ -24,16 +24,21 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder that all executors share and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where that is unset (local tests) a
-    temporary folder is made. The files survive the loss of any executor.
+    It is the session's `spark.checkpoint.dir`; only where that is unset (local tests) a temporary
+    folder is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="caskwise-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="caskwise-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder and cut its lineage; the files survive the loss of any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
