@@ -94,13 +94,17 @@ class BKTree:
             self.children[node][d] = text
 
     def within(self, text: str, threshold: int) -> list[tuple[int, int]]:
-        """(distance, entry id) of every entry within the threshold."""
+        """(distance, entry id) of every entry within the threshold, nearest first."""
+        return sorted((d, entry) for d, _, entry in self.ranked(text, threshold))
+
+    def ranked(self, text: str, threshold: int) -> list[tuple[int, bool, int]]:
+        """(distance, whether the first letter differs, entry id) of every entry within the threshold, in this order."""
         found, stack = [], [self.root] if self.root is not None else []
         while stack:
             node = stack.pop()
             d = distance(text, node)
             if d <= threshold:
-                found += [(d, entry) for entry in self.ids[node]]
+                found += [(d, node[:1] != text[:1], entry) for entry in self.ids[node]]
             stack += [child for edge, child in self.children[node].items() if d - threshold <= edge <= d + threshold]
         return sorted(found)
 
@@ -143,7 +147,8 @@ def phrase_of(text: str) -> str:
             trimmed = False
             for p in _PHRASES:
                 if _fits(p, words):
-                    words, trimmed = words[len(p) :], True
+                    own = p[-1] == "old" and words[len(p) : len(p) + 1] == ["tom"]  # 'old' opens the name itself
+                    words, trimmed = words[len(p) - own :], True
                 elif len(p) <= len(words) and _fits(p, words[len(words) - len(p) :]):
                     words, trimmed = words[: len(words) - len(p)], True
             if words and len(words) > 1 and words[-1].isdigit():
@@ -156,8 +161,10 @@ def phrase_of(text: str) -> str:
 
     bracket = re.search(r"\(([^)]*)\)", text)
     if bracket:
-        inside, before, after = clean(bracket.group(1)), clean(text[: bracket.start()]), clean(text[bracket.end() :])
-        return " ".join(spelled(inside + before + after))
+        inside, before, after = clean(bracket.group(1)), text[: bracket.start()], text[bracket.end() :]
+        if inside:
+            return " ".join(spelled(inside + clean(before) + [w for w in clean(after) if not w.isdigit()]))
+        text = f"{before} {after}"
     head, comma, tail = text.partition(",")
     if comma:
         return " ".join(spelled(clean(" ".join(clean(tail) + clean(head)))))
@@ -191,13 +198,13 @@ def entry_spellings(reference: DataFrame, entry: str, name: str, aliases: str) -
 def nearest_entries(spark: SparkSession, phrases: DataFrame, entries: DataFrame, shard_entries: int = SHARD_ENTRIES, block_values: int = BLOCK_VALUES) -> DataFrame:
     """(phrase, entry, edits) of the nearest entry for each distinct phrase that has one within `allowed`.
 
-    `phrases` has a column `phrase`, `entries` has `text` and `entry`. Among equally near entries the
-    smallest id wins. Null phrases and phrases without a near entry give no row; an empty list or an empty
+    `phrases` has a column `phrase`, `entries` has `text` and `entry`. Among equally near entries one
+    with the phrase's first letter wins, then the smallest id. Null phrases and phrases without a near entry give no row; an empty list or an empty
     table of phrases gives an empty result.
     """
     distinct = phrases.select("phrase").where("phrase is not null").distinct()
     size = entries.count()
-    schema = "phrase string, entry bigint, edits int"
+    schema = "phrase string, entry bigint, edits int, other boolean"
     if size <= shard_entries:
         tree = spark.sparkContext.broadcast([(r["text"], r["entry"]) for r in entries.select("text", "entry").collect()])
 
@@ -218,16 +225,17 @@ def nearest_entries(spark: SparkSession, phrases: DataFrame, entries: DataFrame,
             return _winners(BKTree(list(zip(part["text"], part["entry"], strict=True))), values["phrase"])
 
         found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(cell, schema)
-    return found.groupBy("phrase").agg(F.min(F.struct("edits", "entry")).alias("best")).select("phrase", "best.entry", "best.edits")
+    return found.groupBy("phrase").agg(F.min(F.struct("edits", "other", "entry")).alias("best")).select("phrase", "best.entry", "best.edits")
 
 
 def _winners(index: BKTree, phrases: pd.Series) -> pd.DataFrame:
     rows = []
     for phrase in phrases:
-        found = index.within(phrase, allowed(phrase))
+        found = index.ranked(phrase, allowed(phrase))
         if found:
-            rows.append((phrase, found[0][1], found[0][0]))
-    return pd.DataFrame(rows, columns=["phrase", "entry", "edits"]).astype({"entry": "int64", "edits": "int32"})
+            edits, other, entry = found[0]
+            rows.append((phrase, entry, edits, other))
+    return pd.DataFrame(rows, columns=["phrase", "entry", "edits", "other"]).astype({"entry": "int64", "edits": "int32", "other": "bool"})
 
 
 def mapped_classes(spark: SparkSession, sources: dict[str, DataFrame], reference: DataFrame) -> DataFrame:
