@@ -212,3 +212,44 @@ def score_values(df: DataFrame, expected: str, actual: str, out: str) -> DataFra
     left = marked.where(F.col(out).isNull())
     best = F.greatest(kernels.ratio_udf(a, b), kernels.token_sort_udf(a, b), kernels.token_set_udf(a, b))
     return marked.where(F.col(out).isNotNull()).unionByName(left.withColumn(out, best))
+
+
+def exact_value(df: DataFrame, found: str, canonical: str, out: str) -> DataFrame:
+    """Equal after blanks collapse, or after hyphens within words are dropped as well; else partial credit by similarity."""
+    from caskwise.functions.text import normalize_whitespace
+
+    a, b = F.coalesce(F.col(found), F.lit("")), F.coalesce(F.col(canonical), F.lit(""))
+    same = (F.lower(normalize_whitespace(a)) == F.lower(normalize_whitespace(b))) | (F.lower(normalize_notice(a)) == F.lower(normalize_notice(b)))
+    native = F.when(same, verdict("match", 100))
+    return survivors(df, out, native, lambda: kernels.ratio_udf(F.lower(normalize_notice(a)), F.lower(normalize_notice(b))), threshold=100.1)
+
+
+def address_value(df: DataFrame, found: str, declared: str, out: str) -> DataFrame:
+    """An address found on its own: all its words declared, so a town and state are enough; else by similarity."""
+    have, want = address_tokens(found), address_tokens(declared)
+    native = F.when(~present(found) | (F.size(have) == 0), verdict("field_missing", 0)).when(contains_all(have, want), verdict("match", 100))
+    return survivors(df, out, native, lambda: kernels.fuzzy_udf(normalize_fuzzy(found), normalize_fuzzy(declared)))
+
+
+def fuzzy_value(df: DataFrame, found: str, declared: str, out: str) -> DataFrame:
+    """Brand, producer or country found on its own, by the blended similarity."""
+    native = F.when(~present(found) | (normalize_fuzzy(found) == ""), verdict("field_missing", 0))
+    return survivors(df, out, native, lambda: kernels.fuzzy_udf(normalize_fuzzy(found), normalize_fuzzy(declared)))
+
+
+def match_class(df: DataFrame, declared: str, text: str, variants: DataFrame, out: str) -> DataFrame:
+    """Class words in the text: all of the canonical (else stripped) name, or a variant of the same class, else by similarity."""
+    from caskwise.functions.classes import normalize_classes, strip_qualifiers
+
+    named = normalize_classes(df, declared, variants, "__canonical").withColumn("__term", F.coalesce("__canonical", F.nullif(strip_qualifiers(F.col(declared))["base"], F.lit("")), F.col(declared)))
+    classes = variants.where("variant is not null").groupBy("canonical").agg(F.collect_set(normalize_fuzzy("variant")).alias("__variants")).withColumnRenamed("canonical", "__of")
+    joined = named.join(classes, F.col("__canonical") == F.col("__of"), "left")
+    s = normalize_fuzzy(text)
+    held = F.exists(F.coalesce("__variants", F.array().cast("array<string>")), lambda v: F.concat(F.lit(" "), s, F.lit(" ")).contains(F.concat(F.lit(" "), v, F.lit(" "))))
+    native = (
+        F.when(~present(declared), verdict("field_missing", 0))
+        .when(contains_all(tokens(normalize_fuzzy("__term")), tokens(s)), verdict("match", 100))
+        .when(held, verdict("match", 90))
+    )
+    score = lambda: F.greatest(kernels.partial_ratio_udf(normalize_fuzzy("__term"), s), kernels.token_set_udf(normalize_fuzzy("__term"), s))
+    return survivors(joined, out, native, score).drop("__canonical", "__term", "__of", "__variants")

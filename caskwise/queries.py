@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caskwise.dims import weights, weights_sql
+from caskwise.functions import classes as C
 from caskwise.functions import kernels as K
 from caskwise.functions import text as X
 from caskwise.operators import matchers as M
 from caskwise.operators.units import stated_quantities
 from caskwise.plans.evals import accuracy, confusion, differences, first_rows, long_form, stratified
 from caskwise.plans.history import batch_progress, effective_results, filings, history, latest, page, review_summary, weighted_confidence
+from caskwise.plans.store import reviewed_ratio, uncached
 from caskwise.plans.verify import findings, panel_blocks, second_pass, transcripts, verified
 from caskwise.session import table
 from caskwise.sources import forms, readers
@@ -571,3 +573,86 @@ from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2""")  # fm
 def tpch_pricing(spark: SparkSession, d: str) -> DataFrame:
     shipped = table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'")
     return shipped.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+# --- designations, fields found on their own -----------------------------------------------------
+
+
+@query("qualifier_strip", f"select row_id, class_type, {C.strip_sql('class_type')} as base from applications where class_type is not null and not regexp_matches(class_type, '[^\\x00-\\x7f]')")
+def qualifier_strip(spark: SparkSession, d: str) -> DataFrame:
+    plain = table(spark, d, "applications").where("class_type is not null").where(~F.col("class_type").rlike(r"[^\x00-\x7f]"))
+    return plain.select("row_id", "class_type", C.strip_qualifiers(F.col("class_type"))["base"].alias("base"))
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    ref = table(spark, d, "class_reference")
+    return ref.select(F.explode(F.split(F.concat_ws("|", "class_name", "aliases"), r"\|")).alias("variant"), F.col("class_name").alias("canonical"))
+
+
+@query("class_normalize")
+def class_normalize(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "applications").select("row_id", "class_type")
+    return C.normalize_classes(typed, "class_type", _variants(spark, d))
+
+
+@query("class_match_full")
+def class_match_full(spark: SparkSession, d: str) -> DataFrame:
+    pairs = filings(table(spark, d, "applications")).join(transcripts(table(spark, d, "documents")), "session_id").where("class_type <> ''").select("session_id", "doc_id", "class_type", "text")
+    return M.match_class(pairs, "class_type", "text", _variants(spark, d), "v").select("session_id", "doc_id", "v.status", F.round("v.confidence", 4).alias("confidence"))
+
+
+_COUNTRY_SQL = "case lower(trim(country_of_origin)) " + " ".join(f"when '{a}' then '{b}'" for a, b in C.COUNTRIES.items()) + " else country_of_origin end"
+
+
+@query("country_names", f"select row_id, {_COUNTRY_SQL} as country from applications where country_of_origin is not null")
+def country_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "applications").where("country_of_origin is not null").select("row_id", C.country(F.col("country_of_origin")).alias("country"))
+
+
+@query("address_values")
+def address_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "comparison_results").where("field_name = 'producer_address' and declared_value is not null").select("result_id", "declared_value", "extracted_value")
+    return M.address_value(rows, "extracted_value", "declared_value", "v").select("result_id", "v.status", F.round("v.confidence", 4).alias("confidence"))
+
+
+@query("fuzzy_values")
+def fuzzy_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "comparison_results").where("field_name in ('brand_name', 'producer_name', 'country_of_origin') and declared_value is not null").select("result_id", "declared_value", "extracted_value")
+    return M.fuzzy_value(rows, "extracted_value", "declared_value", "v").select("result_id", "v.status", F.round("v.confidence", 4).alias("confidence"))
+
+
+@query("exact_values")
+def exact_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "comparison_results").where("field_name = 'government_warning'").select("result_id", F.lit(M.NOTICE).alias("declared_value"), "extracted_value")
+    return M.exact_value(rows, "extracted_value", "declared_value", "v").select("result_id", "v.status", F.round("v.confidence", 4).alias("confidence"))
+
+
+@query("review_progress", f"""
+select session_id, round(case when count(*) filter (status <> 'match') = 0 then 1.0::double else count(*) filter (status <> 'match' and reviewed) * 1.0::double / count(*) filter (status <> 'match') end, 6) as ratio,
+       count(*) filter (status <> 'match' and not coalesce(reviewed, false)) = 0 as done, min(field_name) filter (status <> 'match' and not coalesce(reviewed, false)) as next
+from {_LATEST} group by session_id""")
+def review_progress(spark: SparkSession, d: str) -> DataFrame:
+    return reviewed_ratio(effective_results(table(spark, d, "comparison_results"))).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("panel_positions", """
+with p as (select distinct session_id, doc_id, panel_type from documents where session_id is not null and panel_type is not null)
+select session_id, count(*) as panels, count(distinct panel_type) as kinds, arg_min(panel_type, doc_id) as first_panel from p group by session_id""")
+def panel_positions(spark: SparkSession, d: str) -> DataFrame:
+    panels = table(spark, d, "documents").where("session_id is not null and panel_type is not null").select("session_id", "doc_id", "panel_type").distinct()
+    return panels.groupBy("session_id").agg(F.count("*").alias("panels"), F.count_distinct("panel_type").alias("kinds"), F.min_by("panel_type", "doc_id").alias("first_panel"))
+
+
+@query("uncached_documents", "select doc_id from documents d where text is not null and sha256(text || 'transcribe') not in (select sha256(text || 'transcribe') from documents where source = 'label_transcript' and text is not null)")
+def uncached_documents(spark: SparkSession, d: str) -> DataFrame:
+    keyed = table(spark, d, "documents").where("text is not null").withColumn("key", X.cache_key("text", "transcribe"))
+    return uncached(keyed, keyed.where("source = 'label_transcript'"), "key").select("doc_id")
+
+
+@query("repaired_replies", """
+select result_id, json_extract_string(to_json({'value': extracted_value, 'conf': extraction_confidence}), '$.value') as value, coalesce(extraction_confidence, 'high') as conf
+from comparison_results where extracted_value is not null""")
+def repaired_replies(spark: SparkSession, d: str) -> DataFrame:
+    field = F.struct(F.col("extracted_value").alias("value"), F.col("extraction_confidence").alias("conf"))
+    replies = table(spark, d, "comparison_results").where("extracted_value is not null").select("result_id", F.to_json(F.struct(field.alias("f"))).alias("reply"))
+    return readers.reply_fields(replies, "reply").select("result_id", F.col("fields")["f"]["value"].alias("value"), F.col("fields")["f"]["conf"].alias("conf"))
