@@ -68,7 +68,8 @@ def necessary_prefixes(wanted: DataFrame, counts: DataFrame) -> DataFrame:
         order = part.sort_values(["n", "h"]).reset_index(drop=True)
         rank = dict(zip(order["pos"], order.index, strict=True))
         size, keep = len(part), set()
-        for length in range(min(PASSAGE, size + SHINGLE - 1), size + SHINGLE):
+        # a passage of twice the length has a half that is a passage itself, so longer windows need no prefix of their own
+        for length in range(min(PASSAGE, size + SHINGLE - 1), min(size + SHINGLE, 2 * PASSAGE)):
             inside = length - SHINGLE + 1
             take = min(inside, SHINGLE * (length // PER_EDIT) + 1)
             for start in range(size - inside + 1):
