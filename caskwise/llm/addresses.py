@@ -222,8 +222,10 @@ def relation(x: dict, y: dict, weight: dict[str, float] | None = None) -> str:
     odd_left, odd_right = [w for w in left if not _explained(w, y)], [w for w in right if not _explained(w, x)]
 
     def held(words: list[str], odd: list[str]) -> bool:
+        if not words:  # street and town left out: the post code has to speak
+            return bool(x["code"] and y["code"])
         total = sum((weight or {}).get(w, 1.0) for w in words)
-        return bool(words) and len(odd) < len(words) and 1 - sum((weight or {}).get(w, 1.0) for w in odd) / total >= CONTAINMENT
+        return len(odd) < len(words) and 1 - sum((weight or {}).get(w, 1.0) for w in odd) / total >= CONTAINMENT
 
     in_y = held(x["words"], odd_left) and _subset(x["directions"], y["directions"]) and (not x["kind"] or bool(y["kind"]) or len(right) > len(left))
     in_x = held(y["words"], odd_right) and _subset(y["directions"], x["directions"]) and (not y["kind"] or bool(x["kind"]) or len(left) > len(right))
@@ -276,13 +278,24 @@ def containment_pairs(forms: DataFrame) -> DataFrame:
     index = keys(ranked.select("form", F.explode("rarest.token").alias("token"))).withColumnRenamed("form", "indexed")
     pairs = index.join(keys(tokens), "key").where("indexed <> form").select(F.least("indexed", "form").alias("a"), F.greatest("indexed", "form").alias("b")).distinct()
 
+    # a word weighs the more, the fewer addresses have it
+    words = forms.select("form", F.explode(F.array_distinct("words")).alias("word"))
+    total = forms.count()
+    weight = words.groupBy("word").agg(F.count("*").alias("n")).select("word", F.log(1 + total / F.col("n")).alias("w"))
+    weights = words.join(weight, "word").groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias("weights"))
+
     @F.pandas_udf(T.StringType())
-    def related(a: pd.Series, b: pd.Series) -> pd.Series:
+    def related(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
         load = lru_cache(maxsize=20_000)(json.loads)
-        return pd.Series([relation(load(x), load(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series([relation(load(x), load(y), dict(u or ()) | dict(v or ())) for x, y, u, v in zip(a, b, wa, wb, strict=True)], dtype=object)
 
     agree = " and ".join(f"coalesce(get_json_object(a, '$.{p}') = get_json_object(b, '$.{p}'), true)" for p in ("code", "state", "kind"))
-    return pairs.where(agree).withColumn("relation", related("a", "b")).where("relation <> ''")
+    weighed = (
+        pairs.where(agree)
+        .join(weights.select(F.col("form").alias("a"), F.col("weights").alias("wa")), "a", "left")
+        .join(weights.select(F.col("form").alias("b"), F.col("weights").alias("wb")), "b", "left")
+    )
+    return weighed.select("a", "b", related("a", "b", "wa", "wb").alias("relation")).where("relation <> ''")
 
 
 def locations(addresses: DataFrame, column: str = "address") -> DataFrame:
