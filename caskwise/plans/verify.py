@@ -36,8 +36,11 @@ def _native(declared: Column, text: Column, rung: Column) -> Column:
     return F.coalesce(rung, open_end)
 
 
-def findings(applications: DataFrame, documents: DataFrame) -> DataFrame:
-    """(session_id, field_name, status, confidence): the best native finding of each declared field."""
+def findings(applications: DataFrame, documents: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(session_id, field_name, status, confidence): the best native finding of each declared field, or of `only` some.
+
+    Fields that aren't asked for stay out of the plan; the expressions of an address are large.
+    """
     pairs = filings(applications).join(transcripts(documents), "session_id")
     text = F.col("text")
     fields = {
@@ -48,19 +51,19 @@ def findings(applications: DataFrame, documents: DataFrame) -> DataFrame:
         "producer_address": lambda c: _native(c, text, address_found(c, text)),
         "country_of_origin": lambda c: _native(c, text, words_found(c, text)),
     }
-    entries = [F.struct(F.lit(f).alias("field_name"), F.col(f).alias("declared"), m(F.col(f)).alias("v")) for f, m in fields.items()]
+    entries = [F.struct(F.lit(f).alias("field_name"), F.col(f).alias("declared"), m(F.col(f)).alias("v")) for f, m in fields.items() if only is None or f in only]
     sulfites = F.struct(F.lit("sulfites_declaration").alias("field_name"), F.when(F.col("has_sulfites_declaration"), "Required").alias("declared"), presence("sulfites", text).alias("v"))
-    long = pairs.select("session_id", F.explode(F.array(*entries, sulfites)).alias("f")).where("f.declared is not null and f.declared <> ''")
+    long = pairs.select("session_id", F.explode(F.array(*entries, *([sulfites] if only is None or "sulfites_declaration" in only else []))).alias("f")).where("f.declared is not null and f.declared <> ''")
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("f.v.status"))
     best = long.groupBy("session_id", "f.field_name").agg(F.max(F.struct(rank.alias("rank"), F.col("f.v.confidence").alias("confidence"))).alias("b"))
     return best.select("session_id", "field_name", F.element_at(F.array(*map(F.lit, ORDER)), F.col("b.rank").cast("int")).alias("status"), "b.confidence")
 
 
-def verified(applications: DataFrame, documents: DataFrame, weights: DataFrame) -> DataFrame:
+def verified(applications: DataFrame, documents: DataFrame, weights: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(session_id, fields, matched, uncertain, confidence) of every session that has a filing and a transcript."""
     w = F.coalesce("weight", F.lit(1.0))
     return (
-        findings(applications, documents)
+        findings(applications, documents, only)
         .join(F.broadcast(weights), "field_name", "left")
         .groupBy("session_id")
         .agg(

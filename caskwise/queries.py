@@ -497,7 +497,7 @@ best as (select session_id, field_name, any_value(w) as w, max(row(rank, c)) as
 select session_id, count(*) as fields, count(*) filter (rank = 4) as matched, count(*) filter (rank = 3) as uncertain, round(sum(c * w) / sum(w), 4) as confidence from best group by session_id""")
 def verify_pipeline(spark: SparkSession, d: str) -> DataFrame:
     fields = "brand_name alcohol_content net_contents producer_name country_of_origin sulfites_declaration".split()
-    scored = verified(table(spark, d, "applications").withColumn("producer_address", F.lit("")), table(spark, d, "documents"), weights(spark).where(F.col("field_name").isin(fields)))
+    scored = verified(table(spark, d, "applications"), table(spark, d, "documents"), weights(spark), fields)
     return scored.withColumn("confidence", F.round("confidence", 4))
 
 
