@@ -31,12 +31,20 @@ def country(x: Column) -> Column:
     return F.coalesce(names[F.lower(F.trim(x))], x)
 
 
+#: Blanks beyond ASCII, and the ordinary one.
+_BLANKS = r"[ \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{_BLANKS}+|{_BLANKS}+$", "")
+
+
 def strip_qualifiers(x: Column) -> Column:
     """struct<base, qualifiers>: what is left, and what each pattern took, in order."""
     base, taken = x, []
     for p in QUALIFIERS:
-        taken.append(F.trim(F.regexp_extract(base, f"(?iU){p}", 0)))
-        base = F.trim(F.regexp_replace(base, f"(?iU){p}", ""))
+        taken.append(_trimmed(F.regexp_extract(base, f"(?iU){p}", 0)))
+        base = _trimmed(F.regexp_replace(base, f"(?iU){p}", ""))
     return F.struct(base.alias("base"), F.filter(F.array(*taken), lambda q: q != "").alias("qualifiers"))
 
 

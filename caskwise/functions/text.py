@@ -41,6 +41,21 @@ def first_number(x: Column | str, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(_c(x), pattern, 1), F.lit("")).try_cast("double")
 
 
+#: Decimal digits of all scripts, and the digits they stand for.
+_DIGITS = "".join(ch for ch in map(chr, range(0x80, 0x110000)) if unicodedata.category(ch) == "Nd")
+_ASCII_DIGITS = "".join(str(unicodedata.digit(ch)) for ch in _DIGITS)
+
+
+def plain_blanks(x: Column | str) -> Column:
+    """Blanks of every kind as single ordinary blanks each."""
+    return F.regexp_replace(_c(x), r"(?U)[\s\x1c-\x1f\ufeff]", " ")
+
+
+def plain_numbers(x: Column | str) -> Column:
+    """Blanks and decimal digits of every script as ASCII, for the functions that read numbers."""
+    return F.translate(plain_blanks(x), _DIGITS, _ASCII_DIGITS)
+
+
 def extract_abv(x: Column | str) -> Column:
     """The number before the first percent sign, or the whole text if it is a number."""
     return F.coalesce(first_number(x, r"(?U)(\d+\.?\d*)\s*%"), first_number(F.trim(_c(x)), r"^(\d+\.?\d*)$"))

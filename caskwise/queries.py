@@ -247,6 +247,12 @@ def abv_and_proof(spark: SparkSession, d: str) -> DataFrame:
     return ascii_only.select("result_id", X.extract_abv("extracted_value").alias("abv"), X.extract_proof("extracted_value").alias("proof"))
 
 
+@query("abv_and_proof_full")
+def abv_and_proof_full(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "comparison_results").where("field_name = 'alcohol_content'").withColumn("plain", X.plain_numbers("extracted_value"))
+    return rows.select("result_id", X.extract_abv("plain").alias("abv"), X.extract_proof("plain").alias("proof"))
+
+
 def _volume_sql(value: str) -> str:
     tries = []
     for pattern, factor, unit in X.VOLUME_UNITS:
@@ -307,6 +313,13 @@ def word_diffs(spark: SparkSession, d: str) -> DataFrame:
     return diff.select("result_id", F.size(F.filter("diff", lambda x: ~x["same"])).cast("bigint").alias("differing"), F.size("diff").cast("bigint").alias("words"))
 
 
+@query("word_diffs_full")
+def word_diffs_full(spark: SparkSession, d: str) -> DataFrame:
+    brands = table(spark, d, "comparison_results").where("field_name = 'brand_name'")
+    diff = brands.withColumn("diff", X.word_diff(X.plain_blanks("declared_value"), X.plain_blanks("extracted_value")))
+    return diff.select("result_id", F.size(F.filter("diff", lambda x: ~x["same"])).cast("bigint").alias("differing"), F.size("diff").cast("bigint").alias("words"))
+
+
 @query("document_links", r"""
 with l as (select doc_id, unnest(regexp_extract_all(text, '(https?://[^\s"''<>)\]|]+)', 1)) as link from documents)
 select doc_id, link, lower(regexp_extract(link, '^https?://([^/:?#]+)', 1)) as host from l""")
@@ -468,6 +481,12 @@ def abv_agreement(spark: SparkSession, d: str) -> DataFrame:
     return plain.select("result_id", M.abv_agrees(F.col("extracted_value"), F.col("declared_value")).alias("v")).select("result_id", "v.*")
 
 
+@query("abv_agreement_full")
+def abv_agreement_full(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "comparison_results").where("field_name = 'alcohol_content'")
+    return rows.select("result_id", M.abv_agrees(X.plain_numbers("extracted_value"), X.plain_numbers("declared_value")).alias("v")).select("result_id", "v.*")
+
+
 @query("contents_agreement")
 def contents_agreement(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "comparison_results").where("field_name = 'net_contents' and declared_value is not null")
@@ -584,6 +603,11 @@ def qualifier_strip(spark: SparkSession, d: str) -> DataFrame:
     return plain.select("row_id", "class_type", C.strip_qualifiers(F.col("class_type"))["base"].alias("base"))
 
 
+@query("qualifier_strip_full")
+def qualifier_strip_full(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "applications").where("class_type is not null").select("row_id", "class_type", C.strip_qualifiers(F.col("class_type"))["base"].alias("base"))
+
+
 def _variants(spark: SparkSession, d: str) -> DataFrame:
     ref = table(spark, d, "class_reference")
     return ref.select(F.explode(F.split(F.concat_ws("|", "class_name", "aliases"), r"\|")).alias("variant"), F.col("class_name").alias("canonical"))
