@@ -139,8 +139,8 @@ def survivors(df: DataFrame, out: str, native: Column, score: Callable[[], Colum
     return done.unionByName(scored.withColumn(out, decided).drop("__score"))
 
 
-def match_text(df: DataFrame, declared: str, text: str, out: str) -> DataFrame:
-    """Full ladder for names and countries: words, beginnings, word sets, then partial similarity from 90 on.
+def match_text(df: DataFrame, declared: str, text: str, out: str, partial: float = 90.0) -> DataFrame:
+    """Full ladder for names and countries: words, beginnings, word sets, then partial similarity from `partial` on.
 
     A brand or country is as a rule decided natively; null or empty sides are missing; repeated
     rows and other columns pass through.
@@ -149,11 +149,16 @@ def match_text(df: DataFrame, declared: str, text: str, out: str) -> DataFrame:
     def score() -> Column:
         a, b = normalize_fuzzy(declared), normalize_fuzzy(text)
         by_set, part = kernels.token_set_udf(a, b), kernels.partial_ratio_udf(a, b)
-        return F.when(by_set >= THRESHOLD, by_set).when(part >= 90, part).otherwise(F.least(F.greatest(by_set, part), F.lit(THRESHOLD - 1e-9)))
+        return F.when(by_set >= THRESHOLD, by_set).when(part >= partial, part).otherwise(F.least(F.greatest(by_set, part), F.lit(THRESHOLD - 1e-9)))
 
     return survivors(df, out, words_found(F.col(declared), F.col(text)), score)
 
 
+def match_brand(df: DataFrame, declared: str, text: str, out: str) -> DataFrame:
+    """`match_text` for brands, which partial similarity matches from 85 on."""
+    return match_text(df, declared, text, out, THRESHOLD)
+
+
 def match_company(df: DataFrame, declared: str, text: str, out: str) -> DataFrame:
     return survivors(df, out, company_found(F.col(declared), F.col(text)), lambda: kernels.token_set_udf(normalize_company(declared), normalize_company(text)))
 

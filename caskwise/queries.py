@@ -16,7 +16,7 @@ from caskwise.operators.units import stated_quantities
 from caskwise.plans.evals import accuracy, confusion, differences, first_rows, long_form, stratified
 from caskwise.plans.history import batch_progress, effective_results, filings, history, latest, page, review_summary, weighted_confidence
 from caskwise.plans.store import reviewed_ratio, uncached
-from caskwise.plans.verify import findings, panel_blocks, second_pass, transcripts, verified
+from caskwise.plans.verify import full_findings, panel_blocks, scored, second_pass, transcripts, verified
 from caskwise.session import table
 from caskwise.sources import forms, readers
 from caskwise.streaming.progress import drained
@@ -522,7 +522,12 @@ def verify_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("verify_findings")
 def verify_findings(spark: SparkSession, d: str) -> DataFrame:
-    return findings(table(spark, d, "applications"), table(spark, d, "documents"))
+    return full_findings(table(spark, d, "applications"), table(spark, d, "documents"), _variants(spark, d))
+
+
+@query("verify_full")
+def verify_full(spark: SparkSession, d: str) -> DataFrame:
+    return scored(verify_findings(spark, d), weights(spark)).withColumn("confidence", F.round("confidence", 4))
 
 
 @query("second_pass", f"""

@@ -125,3 +125,21 @@ def test_quarantine(spark):
     df = spark.createDataFrame([(1, "x"), (2, ""), (3, None)], "id int, t string")
     got = {r["id"]: r["reason"] for r in readers.quarantine(df, {"empty": F.col("t") != ""}).collect()}
     assert got == {1: None, 2: "empty", 3: "empty"}
+
+
+def test_full_findings_by_all_rungs(spark):
+    from caskwise.operators.matchers import NOTICE
+
+    fields = "brand_name class_type alcohol_content net_contents producer_name producer_address country_of_origin importer_name importer_address".split()
+    declared = ["Floskborough Reserve", "Bourbon Whiskey", "40%", "750 mL", "Tammontis Zo", "12 Wonlow Road, Hesswick", "Germany", "Quindara Imports", "7 Prestoway Lane, Ustervale"]
+    apps = spark.createDataFrame([(1, "s", *declared, True, None)], "row_id bigint, session_id string, " + ", ".join(f"{f} string" for f in fields) + ", has_sulfites_declaration boolean, submitted_at timestamp_ntz")
+    label = "FLOSKBOROUGN RESERVE bourbon whiskey 40% vol 750 ml contains sulfites Tammontis Z0 12 Won1ow Road, Hesswlck Germany " + NOTICE.replace("DRIVERS", "DR1VERS")
+    docs = spark.createDataFrame([(1, "s", "front", label), (2, "s", "back", "Quindara Imports, 7 Prestoway Lane, Ustervale")], "doc_id bigint, session_id string, panel_type string, text string")
+    variants = spark.createDataFrame([("bourbon whiskey", "Bourbon Whiskey")], "variant string, canonical string")
+    got = {r["field_name"]: r["status"] for r in verify.full_findings(apps, docs, variants).collect()}
+    assert set(got) == {*fields, "sulfites_declaration", "government_warning"}
+    assert {f for f, v in got.items() if v != "match"} == set()
+    native = {r["field_name"]: r["status"] for r in verify.findings(apps, docs).collect()}
+    assert native["brand_name"] == native["producer_name"] == "content_mismatch"
+    assert verify.scored(verify.full_findings(apps, docs, variants), spark.createDataFrame([("brand_name", 2.0)], "field_name string, weight double")).first()["fields"] == 11
+    assert verify.full_findings(apps, docs.limit(0), variants).count() == 0
