@@ -26,8 +26,6 @@ BROADCAST_SHINGLES = 500_000
 # Invisible characters, tags and entities, in Java and Python alike.
 _GONE = r"[­​-‏⁠﻿]"
 _MARKUP = r"<[^<>]{1,200}>|&(?:[a-zA-Z]{2,8}|#[0-9]{2,5});"
-#: A line break within a word: with or without a hyphen, marks of quoting may open the next line.
-_BREAK = r"(?<=[\p{L}\p{N}])[-‐]?[ \t]*\r?\n[>| \t]*(?=[\p{L}\p{N}])"
 
 
 def clean(text: Column) -> Column:
@@ -49,17 +47,6 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return tokens.select("item_id", F.posexplode(F.expr(shingles("tokens"))).alias("pos", "h"))
 
 
-def document_hits(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, h): distinct shingles of each document that occur in an item, line breaks read both as blanks and as nothing."""
-    text = clean(F.col("text"))
-    tokens = documents.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), words(text).alias("a"), F.when(F.col("text").contains("\n"), words(F.regexp_replace(text, _BREAK, ""))).otherwise(F.array().cast("array<string>")).alias("b")
-    )
-    found = tokens.select("doc_id", F.explode(F.array_union(F.expr(shingles("a")), F.expr(shingles("b")))).alias("h"))
-    hashes = wanted.select("h").distinct()
-    return found.join(F.broadcast(hashes) if hashes.count() <= BROADCAST_SHINGLES else hashes, "h", "left_semi")
-
-
 def necessary_prefixes(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """(item_id, h): for every window of an item the rarest shingles of which a passage there keeps at least one."""
     ranked = wanted.join(counts, "h", "left").select("item_id", "pos", "h", F.coalesce("n", F.lit(0)).alias("n"))
@@ -79,6 +66,7 @@ def necessary_prefixes(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     return ranked.groupBy("item_id").applyInPandas(prefix, "item_id bigint, h bigint")
 
 
+#: A line break within a word: with or without a hyphen, marks of quoting may open the next line.
 _PY_BREAK = re.compile(r"[-‐]?[ \t]*\r?\n[>| \t]*")
 _PY_GONE, _PY_MARKUP = re.compile(_GONE), re.compile(_MARKUP)
 _PY_WORD = re.compile(r"[^\W_]+")
@@ -93,6 +81,40 @@ def _tokens(text: str) -> tuple[list[str], set[int]]:
     return [m.group() for m in found], broken
 
 
+def joined_shingles(text: str) -> list[str]:
+    """Shingles in which at least one line break joins two words, each break of a shingle read both ways, as `holds_passage` reads them."""
+    raw, broken = _tokens(text)
+    found = set()
+    for start in {i for k in broken for i in range(max(0, k - 2 * SHINGLE + 1), k + 1)}:
+        open_ends: list[tuple[int, tuple[str, ...], bool]] = [(start, (), False)]
+        while open_ends:
+            at, read, joined = open_ends.pop()
+            if len(read) == SHINGLE:
+                if joined:
+                    found.add(" ".join(read))
+                continue
+            if at < len(raw):
+                open_ends.append((at + 1, (*read, raw[at]), joined))
+            if at in broken:
+                open_ends.append((at + 2, (*read, raw[at] + raw[at + 1]), True))
+    return sorted(found)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def joined_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([joined_shingles(t) if t else [] for t in texts], dtype=object)
+
+
+def document_hits(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, h): distinct shingles of each document that occur in an item, every line break read both as a blank and as nothing."""
+    tokens = documents.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), words(clean(F.col("text"))).alias("a"), joined_udf(F.when(F.col("text").contains("\n"), F.col("text"))).alias("b")
+    )
+    found = tokens.select("doc_id", F.explode(F.array_union(F.expr(shingles("a")), F.expr("transform(b, x -> xxhash64(x))"))).alias("h"))
+    hashes = wanted.select("h").distinct()
+    return found.join(F.broadcast(hashes) if hashes.count() <= BROADCAST_SHINGLES else hashes, "h", "left_semi")
+
+
 def holds_passage(text: str, item: str) -> bool:
     """Whether `text` holds PASSAGE or more words of `item` in their order, at most one in PER_EDIT changed, added or missing."""
     (raw, broken), (wanted, _) = _tokens(text), _tokens(item)

@@ -48,3 +48,29 @@ def test_join_loses_nothing(spark):
     got = {tuple(r) for r in K.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == want
     assert 40 < len(want) < 150
+
+
+def test_join_loses_nothing_in_narrow_lines(spark):
+    """Pieces with a changed word, wrapped in narrow lines that part some words and not others, against verifying all pairs."""
+    random.seed(5)
+    vocabulary = ["".join(random.choices("aeilnorst", k=random.randrange(4, 10))) for _ in range(300)]
+    items = [(k, " ".join(random.choices(vocabulary, k=40))) for k in range(10)]
+    docs = []
+    for n in range(80):
+        start, width = random.randrange(20), random.choice((14, 18, 22))
+        piece = items[n % 10][1].split()[start : start + 15]
+        piece[random.randrange(15)] = "changed"
+        lines = [""]
+        for w in piece:
+            if len(lines[-1]) + len(w) < width:
+                lines[-1] += w + " "
+            elif random.random() < 0.5:
+                lines[-1] += w[:2] + "-"
+                lines.append(w[2:] + " ")
+            else:
+                lines.append(w + " ")
+        docs.append((n, "\n".join(lines)))
+    want = {(n, k) for n, t in docs for k, i in items if K.holds_passage(t, i)}
+    got = {tuple(r) for r in K.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(want) > 40
+    assert got == want
