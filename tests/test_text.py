@@ -124,3 +124,10 @@ def test_scores_are_symmetric_in_order_of_rows(spark, rows):
     data = [(i, a, b) for i, (a, b) in enumerate(itertools.product(["x y", "y", None, ""], repeat=2))]
     df = spark.createDataFrame(data, "id int, a string, b string")
     assert rows(M.score_values(df, "a", "b", "s")) == rows(M.score_values(df.orderBy(F.desc("id")), "a", "b", "s"))
+
+
+def test_brand_matches_by_partial_ratio_from_85(spark):
+    df = spark.createDataFrame([("tammonti", "zz qq tammontx rr vv")], "a string, b string")
+    assert M.match_text(df, "a", "b", "v").first()["v"]["status"] == "content_mismatch"
+    got = M.match_brand(df, "a", "b", "v").first()["v"]
+    assert (got["status"], got["confidence"]) == ("match", 87.5)
