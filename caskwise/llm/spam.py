@@ -1,11 +1,12 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-List density: links, tags and stretches of words that keep to a small vocabulary, as sentences never
-do, are cut out of every page. Phrase shingles of these stretches are exploded and their distinct
-hosts counted; a stretch counts against a page as far as its phrases are replicated, on other
-hosts or over and over on the page. Pages of which more than half is made so are reported.
+List density: links and tags, stretches of words that keep to a small vocabulary as sentences never
+do, and long runs of short items between marks of one kind are cut out of every page. Phrases of these stretches are
+exploded and their distinct hosts counted. A link or tag counts against a page by itself; a stretch of
+small vocabulary as far as its phrases stand on other hosts or come over and over on the page; a run of items without repeats only
+as far as its items stand on other hosts. Pages of which more than half is made so are reported.
 
-The documents name no host, so a page's text stands for its host: copies of one page are one host.
+Where the documents name no host, a page's text stands for it: copies of one page are one host.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ from caskwise.session import cut
 
 #: Words in a window, share of different words up to which it is a list, words of which one is judged at all.
 WINDOW, VARIED, LEAST = 40, 0.70, 12
-#: Hosts from which on a phrase is replicated; share of the characters beyond which a page is spam.
-HOSTS, SHARE = 2, 0.5
+#: Items in a run and words in an item of a list.
+ITEMS, ITEM_WORDS = 12, 3
+#: Hosts, and times on one page, from which on a phrase is replicated; share of the characters beyond which a page is spam.
+HOSTS, REPEATS, SHARE = 2, 3, 0.5
 
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^<>]*>[^<]*</a\s*>|(?:https?://|www\.)\S+", re.I)
 _TAG = re.compile(r"#\w[\w\-]*|\btags?:\s?\w[\w\-]*", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_MARK = re.compile(r"\s*([,;|/•·])\s*")
 #: Characters that belong to the list they stand in.
 _BETWEEN = re.compile(r"[^\w]*")
 
@@ -56,8 +60,30 @@ def _varied(words: list[str]) -> list[bool]:
     return dense
 
 
+def _item_runs(text: str, found: list[re.Match[str]]) -> list[list[tuple[int, int]]]:
+    """Runs of at least ITEMS items of up to ITEM_WORDS words with one and the same mark between them, each item as first and last word."""
+    runs: list[list[tuple[int, int]]] = []
+    run: list[tuple[int, int]] = []
+    kind, first = "", 0
+    for k in range(len(found)):
+        gap = text[found[k].end() : found[k + 1].start()] if k + 1 < len(found) else "\n"
+        if gap and not gap.strip() and "\n" not in gap:
+            continue
+        mark = _MARK.fullmatch(gap)
+        fits = k - first < ITEM_WORDS
+        if fits and (not run or kind):
+            run.append((first, k))
+        if not fits or not mark or (kind and mark.group(1) != kind):
+            runs.append(run)
+            run, kind = [], ""
+        kind = mark.group(1) if mark else ""
+        first = k + 1
+    runs.append(run)
+    return [r for r in runs if len(r) >= ITEMS]
+
+
 def evidence(text: str) -> tuple[int, int, list[tuple[str, int, int]]]:
-    """Characters of a page, characters of its links and tags, and (phrase, times, characters) of its lists."""
+    """Characters of a page, characters of its links and tags, and (phrase, times, characters) of its lists, times 0 for items that aren't repeated words."""
     spans = sorted([m.span() for m in _LINK.finditer(text)] + [m.span() for m in _TAG.finditer(text)])
     merged: list[list[int]] = []
     for a, b in spans:
@@ -91,7 +117,15 @@ def evidence(text: str) -> tuple[int, int, list[tuple[str, int, int]]]:
     for p, (n, _) in phrases.items():
         for w in p.split(" "):
             repeats[w] += n
-    return len(text), links, [(p, max(n, min(repeats[w] // 2 for w in p.split(" "))), c) for p, (n, c) in phrases.items()]
+    listed = {p: (max(n, min(repeats[w] // 2 for w in p.split(" "))), c) for p, (n, c) in phrases.items()}
+    for run in _item_runs(text, found):
+        for a, b in run:
+            if not any(dense[a : b + 1]):
+                item = " ".join(m.group().lower() for m in found[a : b + 1])
+                times, chars = listed.get(item, (0, 0))
+                end = found[b + 1].start() if (a, b) != run[-1] else found[b].end()
+                listed[item] = (times, chars + end - found[a].start())
+    return len(text), links, [(p, n, c) for p, (n, c) in listed.items()]
 
 
 EVIDENCE = T.StructType([
@@ -105,18 +139,22 @@ def evidence_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([evidence(t) for t in texts], columns=EVIDENCE.names)
 
 
-def spam_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id,) of pages that are mostly repeated keywords, links or tags.
+def spam_pages(documents: DataFrame, host: str | None = None) -> DataFrame:
+    """(doc_id,) of pages that are mostly repeated keywords, links or tags; `host` is the column that names a page's host, if there is one.
 
-    Null and empty texts are none. Every copy of a page is reported under its own id, a repeated row of
+    Null and empty texts are none; a null host is the text itself. Every copy of a page is reported under its own id, a repeated row of
     one id once. Whole texts are read; an empty table gives an empty table.
     """
-    pages = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    seen = pages.select("doc_id", F.md5("text").alias("host"), evidence_udf("text").alias("e")).select("doc_id", "host", "e.*")
-    # a page can only be reported if its lists and links together pass the share
+    text = F.md5("text")
+    pages = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("page"), (F.coalesce(F.col(host).cast("string"), text) if host else text).alias("host"), "text")
+    seen = pages.select("doc_id", "page", "host", evidence_udf("text").alias("e")).select("doc_id", "page", "host", "e.*")
     listed = cut(seen.where("links > 0 or size(phrases) > 0"))
-    phrases = listed.dropDuplicates(["host"]).select("host", "links", F.col("chars").alias("all"), F.explode_outer("phrases").alias("p")).select("host", "links", "all", "p.*")
-    hosts = phrases.where("phrase is not null").groupBy("phrase").agg(F.count("*").alias("hosts"))  # a host has each phrase once
-    replicated = phrases.join(hosts, "phrase", "left").select("host", "all", "links", F.when((F.col("hosts") >= HOSTS) | (F.col("times") >= 2), F.col("chars")).otherwise(0).alias("chars"))
-    spam = replicated.groupBy("host").agg((F.first("links") + F.sum("chars")).alias("made"), F.first("all").alias("all")).where(F.col("made") > SHARE * F.col("all"))
-    return listed.select("doc_id", "host").join(spam, "host", "left_semi").select("doc_id").distinct()
+    # a page can only be reported if its lists and links together may pass the share
+    most = F.col("links") + F.aggregate("phrases", F.lit(0).cast("bigint"), lambda s, p: s + p["chars"])
+    phrases = listed.select("page", "host", F.explode("phrases").alias("p")).select("page", "host", "p.*")
+    hosts = phrases.groupBy("phrase").agg(F.count_distinct("host").alias("hosts"))
+    alone = listed.where(most > SHARE * F.col("chars")).dropDuplicates(["page"]).select("page", "links", F.col("chars").alias("all"), F.explode_outer("phrases").alias("p")).select("page", "links", "all", "p.*")
+    counts = (F.col("hosts") >= HOSTS) | (F.col("times") >= REPEATS)
+    made = alone.join(hosts, "phrase", "left").groupBy("page").agg((F.first("links") + F.sum(F.when(counts, F.col("chars")).otherwise(0))).alias("made"), F.first("all").alias("all"))
+    spam = made.where(F.col("made") > SHARE * F.col("all"))
+    return listed.select("doc_id", "page").join(spam, "page", "left_semi").select("doc_id").distinct()

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from caskwise.llm import spam as S
 
@@ -31,6 +32,21 @@ def test_others(spark, rows):
     assert S.spam_pages(df.limit(0)).count() == 0
 
 
+ITEMS = [f"{a} {b}" for a, b in zip("amber oaken winter copper river velvet harbor crimson meadow silver autumn golden marble linen".split(), "flask decanter tumbler stopper funnel goblet coaster barrel corkscrew pitcher shaker strainer bucket cradle".split(), strict=True)]
+
+
+def test_hosts_decide(spark, rows, monkeypatch):
+    """A list of items without any repeats is spam if the items stand on another host, and none if they don't."""
+    page, other, lone = ", ".join(ITEMS), " | ".join(reversed(ITEMS)), ", ".join(f"{x[::-1]}" for x in ITEMS)
+    df = spark.createDataFrame([(1, page, "a.test"), (2, other, "b.test"), (3, lone, "c.test"), (4, SPAM["commas"], "d.test")], "doc_id bigint, text string, site string")
+    assert rows(S.spam_pages(df)) == [(1,), (2,), (4,)]
+    assert rows(S.spam_pages(df, "site")) == [(1,), (2,), (4,)]
+    one = df.withColumn("site", F.lit("one.test"))
+    assert rows(S.spam_pages(one, "site")) == [(4,)]
+    monkeypatch.setattr(S, "HOSTS", 10**9)
+    assert rows(S.spam_pages(df)) == [(4,)]
+
+
 def test_nothing_outside_imports_this_package():
     import pathlib
 
