@@ -10,7 +10,7 @@ from caskwise.llm.addresses import same_location
 from caskwise.llm.leakage import leaked_items
 from caskwise.llm.lexicon import mapped_classes
 from caskwise.llm.lookalike import inconsistent
-from caskwise.llm.mixing import mixed, sharded, shares
+from caskwise.llm.mixing import drawn, mixed, sharded, shares
 from caskwise.llm.names import same_names
 from caskwise.llm.spam import spam_pages
 from caskwise.session import table
@@ -73,17 +73,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p7_mix")
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return drawn(spark, _mix(spark, d)).drop("rank", "in_pass")
+
+
+def _mix(spark: SparkSession, d: str) -> DataFrame:
     return mixed(spark, table(spark, d, "documents"), table(spark, d, "source_weights"))
 
 
 @query("p7_shares")
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return shares(spark, p7_mix(spark, d), table(spark, d, "source_weights"))
+    return shares(spark, _mix(spark, d), table(spark, d, "source_weights"))
 
 
 @query("p7_shards")
 def p7_shards(spark: SparkSession, d: str) -> DataFrame:
-    return sharded(spark, p7_mix(spark, d))
+    return sharded(spark, _mix(spark, d))
 
 
 @query("p8_found")

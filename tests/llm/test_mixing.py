@@ -26,6 +26,15 @@ def test_splitting_tree_is_exact_and_even():
     assert M.split_tree([3], 0, 1).shape == (0, 1)
 
 
+def test_splitting_tree_beyond_exact_draws():
+    blocks = [2_000_000_000, 300_000_000, 7, 0]
+    counts = M.split_tree(blocks, 8, 3)
+    assert counts.sum(axis=0).tolist() == blocks
+    assert counts.min() >= 0
+    assert abs(counts.sum(axis=1) - sum(blocks) / 8).max() <= 3
+    assert abs(counts[:, 0] / 2e9 - 1 / 8).max() < 1e-3
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rows = [(k, "word " * (k % 7 + 1), "abc"[k % 10 // 5 + (k % 10 > 8)]) for k in range(3000)]
@@ -58,9 +67,28 @@ def test_mix(spark, corpus):
     assert len(placed) == sum(r["repeats"] for r in got)
     assert len({(r["doc_id"], r["copy"]) for r in placed}) == len(placed)
     assert {r["shard"] for r in placed} == set(range(5))
+    # every shard holds the blocks of each source that the tree gives it; only a source's last block may be short
+    copies = {s: sum(r["repeats"] for r in got if r["source"] == s) for s in caps}
+    quotas = M.split_tree([-(-copies[s] // M.BLOCK) for s in "abc"], 5, 7)
+    for k, s in enumerate("abc"):
+        held = [sum(r["shard"] == i and r["source"] == s for r in placed) for i in range(5)]
+        assert sum(q * M.BLOCK - h for q, h in zip(quotas[:, k], held, strict=True)) == -copies[s] % M.BLOCK
+        assert all(0 <= q * M.BLOCK - h < M.BLOCK for q, h in zip(quotas[:, k], held, strict=True))
+    drawn = M.drawn(spark, mix, shards=5).collect()
+    assert all(len(r["shards"]) == r["repeats"] for r in drawn)
     assert sorted(map(tuple, M.mixed(spark, corpus.repartition(7), w).collect())) == sorted(map(tuple, got))
 
 
+def test_running_sums_over_buckets(spark):
+    docs = [(k, "ab"[k % 3 == 0], k % 5 + 1, (k * 7919 % 1000 - 500) << 54) for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint, h bigint")
+    for bucket in (1000, 10):
+        got = {r["doc_id"]: (r["rank"], r["before"]) for r in M.running(df, 140, bucket).collect()}
+        for d, s, _, h in docs:
+            earlier = [n for e, t, n, g in docs if t == s and (g, e) < (h, d)]
+            assert got[d] == (len(earlier), sum(earlier))
+
+
 @pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no tokenizer")
 def test_empty(spark, corpus):
     w = spark.createDataFrame(WEIGHTS, "source string, target_share double, max_repeats bigint")
