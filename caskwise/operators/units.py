@@ -71,6 +71,17 @@ SPELLINGS = {
     "percent by volume": r"%|per\s?cent|pct\.?|(?:by\s*)?vol(?:ume)?\b\.?",
 }
 
+#: Ends of the names of metric volumes.
+METRIC_END = ("litre", "liter")
+
+
+def as_named(name: str) -> str:
+    """A unit's name as a pattern: singular or plural, '-re' or '-er' at its end, blanks of any width."""
+    words = [re.escape(w) for w in name.lower().split()]
+    last = re.sub(r"(?:tre|ter)$", "t(?:re|er)", words[-1])
+    return r"\s*".join([*words[:-1], last]) + "s?"
+
+
 #: Units that are read to be told apart, never counted.
 OTHERS = (
     (Unit("year", Decimal(12), dims(time=1)), r"(?:year|yr|month|day|hour)s?\b\.?"),
@@ -125,10 +136,12 @@ class Grammar:
         metric = {"millilitre", "centilitre", "decilitre", "litre"}
         self.units: list[tuple[Unit, str]] = []
         for name, kind, factor in rows:
-            if name in SPELLINGS and kind in KINDS:
-                self.units.append((Unit(name, Decimal(str(factor)), KINDS[kind], metric=name in metric), SPELLINGS[name]))
+            if kind not in KINDS:
+                raise ValueError(f"unit {name} is of an unknown kind: {kind}")
+            self.units.append((Unit(name, Decimal(str(factor)), KINDS[kind], metric=name in metric or name.endswith(METRIC_END)), SPELLINGS.get(name) or as_named(name)))
         order = list(SPELLINGS)
-        self.units.sort(key=lambda u: order.index(u[0].name))
+        # units that have no spellings of their own are read by their name, before the short forms of others
+        self.units.sort(key=lambda u: order.index(u[0].name) if u[0].name in SPELLINGS else -1)
         self.units += OTHERS
         self.by_group = {f"u{i}": u for i, (u, _) in enumerate(self.units)}
         # longest reading first: weight before plain percent, degrees of strength before bare degrees

@@ -52,6 +52,18 @@ def test_stated_quantities(spark, rows):
     assert stated_quantities(apps, results, units.limit(0)).count() == 0
 
 
+def test_units_without_spellings(spark, rows):
+    """A unit that only the table knows is read by its name; one of an unknown kind is refused."""
+    apps = spark.createDataFrame([(1, "2 hectolitres", None), (2, "1.5 hectoliter; 75 cl", None), (3, "3 us barrels", None)], "row_id bigint, net_contents string, alcohol_content string")
+    none = spark.createDataFrame([], "result_id bigint, field_name string, extracted_value string")
+    more = [*UNITS, ("hectolitre", "volume", 100000.0), ("us barrel", "volume", 119240.0)]
+    units = spark.createDataFrame(more, "unit_name string, quantity_kind string, factor double")
+    got = rows(stated_quantities(apps, none, units).select("row_id", "item_no", "amount"))
+    assert got == [(1, 1, 200000), (2, 1, 150000), (2, 2, 750), (3, 1, 357720)]
+    with pytest.raises(ValueError, match="unknown kind"):
+        Grammar([("ell", "length", 1.0)])
+
+
 def test_consistent_form():
     assert consistent("Ｏｌｄ　Tom") == "Old Tom"
     assert consistent("Cuvée ﬁne") == "Cuvée fine"
