@@ -3,7 +3,7 @@
 Items and documents become shingles of words. The shingles of the items are counted over the whole
 corpus and ordered by rarity; of every window of an item only the necessary prefix, its rarest
 shingles, is joined with the documents, since a passage that misses all of them has lost more words
-than allowed. Pairs within the length and positional bounds are verified exactly on the words.
+than allowed. Pairs within the length bound are verified exactly on the words of windows of the item's size.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from caskwise.session import cut
 SHINGLE, PASSAGE, PER_EDIT = 4, 15, 10
 #: Item shingles up to this number are broadcast (32 bytes each); more are joined by shuffle.
 BROADCAST_SHINGLES = 500_000
+#: Ids of candidate documents up to this number are broadcast (8 bytes each).
+BROADCAST_DOCUMENTS = 2_000_000
 
 # Invisible characters, tags and entities, in Java and Python alike.
 _GONE = r"[­​-‏⁠﻿]"
-_MARKUP = r"<[^<>]{1,200}>|&(?:[a-zA-Z]{2,8}|#[0-9]{2,5});"
+_MARKUP = r"<[/!?a-zA-Z][^<>]*+>|&(?:[a-zA-Z]{2,8}|#[0-9]{2,5});"
 
 
 def clean(text: Column) -> Column:
@@ -72,7 +74,7 @@ _PY_GONE, _PY_MARKUP = re.compile(_GONE), re.compile(_MARKUP)
 _PY_WORD = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=5_000)
+@lru_cache(maxsize=64)
 def _tokens(text: str) -> tuple[list[str], set[int]]:
     """Words of a text; positions of words that only a line break parts from the next."""
     text = _PY_MARKUP.sub(" ", _PY_GONE.sub("", text)).lower()
@@ -81,6 +83,11 @@ def _tokens(text: str) -> tuple[list[str], set[int]]:
     return [m.group() for m in found], broken
 
 
+@lru_cache(maxsize=5_000)
+def _item_words(item: str) -> list[str]:
+    return _tokens.__wrapped__(item)[0]
+
+
 def joined_shingles(text: str) -> list[str]:
     """Shingles in which at least one line break joins two words, each break of a shingle read both ways, as `holds_passage` reads them."""
     raw, broken = _tokens(text)
@@ -117,7 +124,7 @@ def document_hits(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def holds_passage(text: str, item: str) -> bool:
     """Whether `text` holds PASSAGE or more words of `item` in their order, at most one in PER_EDIT changed, added or missing."""
-    (raw, broken), (wanted, _) = _tokens(text), _tokens(item)
+    (raw, broken), wanted = _tokens(text), _item_words(item)
     known = set(wanted)
     doc, k = [], 0
     while k < len(raw):
@@ -188,10 +195,19 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     hits = cut(document_hits(documents, wanted))
     prefixes = necessary_prefixes(wanted, hits.groupBy("h").agg(F.count("*").alias("n")))
     pairs = hits.join(prefixes, "h").select("doc_id", "item_id").distinct()
-    # length bound: of the shortest passage's shingles so many stay whatever words are changed
+    # length bound: of the shortest passage's shingles so many stay whatever words are changed; only shingles of pairs that met are counted
     least = PASSAGE - SHINGLE + 1 - SHINGLE * (PASSAGE // PER_EDIT)
-    enough = hits.join(wanted, "h").join(pairs, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("n")).where(F.col("n") >= least)
+    met = cut(pairs)
+    of_pair = met.join(wanted, "item_id").join(hits, ["doc_id", "h"], "left_semi")
+    enough = of_pair.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("n")).where(F.col("n") >= least)
     candidates = cut(enough.select("doc_id", "item_id"))
     texts = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     pieces = items.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item"))
-    return candidates.join(texts, "doc_id").join(pieces, "item_id").where(holds_udf("text", "item")).select("doc_id", "item_id").distinct()
+    # only texts of candidates are shuffled: their ids are sent to the scan up to BROADCAST_DOCUMENTS of them
+    return near(texts, candidates).join(candidates, "doc_id").join(pieces, "item_id").where(holds_udf("text", "item")).select("doc_id", "item_id").distinct()
+
+
+def near(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Rows of `texts` whose doc_id is among `candidates`; beyond the bound of a broadcast the engine chooses the join."""
+    ids = candidates.select("doc_id").distinct()
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_DOCUMENTS else ids, "doc_id", "left_semi")

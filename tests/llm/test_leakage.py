@@ -29,6 +29,14 @@ def test_operator(spark, rows):
     assert K.leaked_items(d, i.limit(0)).count() == 0
 
 
+def test_long_tags_and_columns(spark, rows):
+    """A tag of 300 characters within a passage; columns so narrow that a shingle runs over several breaks of both kinds."""
+    tag = '<a href="https://example.test/' + "x" * 300 + '">'
+    columns = "The memo by Won-\nlow says\nFlosk-\nborough\nshould re-\ntire the\nmash ket-\ntle before\nthe har-\nvest, keep\n7973 cra-\ntes of\nsmoked malt,"
+    d = spark.createDataFrame([(1, " ".join(W[:9]) + f" {tag}" + " ".join(W[9:20]) + "</a>"), (2, columns)], "doc_id bigint, text string")
+    assert rows(K.leaked_items(d, spark.createDataFrame([(10, ITEM)], "item_id bigint, text string"))) == [(1, 10), (2, 10)]
+
+
 def test_join_loses_nothing(spark):
     """Documents with pieces of items, edited within the allowance, against verifying all pairs."""
     random.seed(6)
