@@ -8,6 +8,7 @@ broadcast as one tree, a large one is cut into shards, each searched by blocks o
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caskwise.functions.chars import consistent
+from caskwise.session import cut, spread
 
 #: Entries in one tree; a longer list is cut into shards of about this size.
 SHARD_ENTRIES = 20_000
@@ -213,21 +215,28 @@ def nearest_entries(spark: SparkSession, phrases: DataFrame, entries: DataFrame,
             for batch in batches:
                 yield _winners(index, batch["phrase"])
 
-        found = distinct.mapInPandas(search, schema)
+        found = spread(distinct).mapInPandas(search, schema)
     else:
         shards = -(-size // shard_entries)
         blocks = max(1, -(-distinct.count() // block_values))
-        cells = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
         left = distinct.select("phrase", F.pmod(F.xxhash64("phrase"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        right = entries.select("text", "entry", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"), cells)
+        # every tree is built once, in the order of the table, and sent to the blocks of values as it is
+        trees = entries.select("text", "entry", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(_planted, "shard int, tree binary")
+        right = trees.select("shard", "tree", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
         def cell(values: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-            return _winners(BKTree(list(zip(part["text"], part["entry"], strict=True))), values["phrase"])
+            index = pickle.loads(part["tree"].iloc[0]) if len(part) else BKTree([])
+            return _winners(index, values["phrase"])
 
         found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(cell, schema)
     return found.groupBy("phrase").agg(F.min(F.struct("edits", "other", "entry")).alias("best")).select("phrase", "best.entry", "best.edits")
 
 
+def _planted(part: pd.DataFrame) -> pd.DataFrame:
+    tree = BKTree(list(zip(part["text"], part["entry"], strict=True)))
+    return pd.DataFrame({"shard": part["shard"].iloc[:1], "tree": [pickle.dumps(tree)]})
+
+
 def _winners(index: BKTree, phrases: pd.Series) -> pd.DataFrame:
     rows = []
     for phrase in phrases:
@@ -250,7 +259,7 @@ def mapped_classes(spark: SparkSession, sources: dict[str, DataFrame], reference
         rows = part if rows is None else rows.unionByName(part)
     names = reference.select(F.col("class_name").alias("typed")).where("typed is not null").distinct()
     rows = rows.where("typed is not null and typed <> ''").join(names, "typed", "left_anti")
-    typed = rows.select("typed").distinct().withColumn("phrase", phrase_udf("typed"))
+    typed = cut(spread(rows.select("typed").distinct()).withColumn("phrase", phrase_udf("typed")))
     nearest = nearest_entries(spark, typed, entry_spellings(reference, "class_id", "class_name", "aliases"))
     classes = typed.join(nearest, "phrase", "left").select("typed", F.coalesce("entry", F.lit(0)).cast("bigint").alias("class_id"))
     return rows.join(classes, "typed").select("src", "row_id", "class_id")
