@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caskwise.functions.text import fold_marks
+from caskwise.functions.text import BLANK, fold_marks, wide
 
 # Qualifiers in the order in which they are stripped; each works on what the one before left.
 QUALIFIERS = [
@@ -32,7 +32,7 @@ def country(x: Column) -> Column:
 
 
 #: Blanks beyond ASCII, and the ordinary one.
-_BLANKS = r"[ \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BLANKS = BLANK
 
 
 def _trimmed(x: Column) -> Column:
@@ -70,5 +70,6 @@ def normalize_classes(df: DataFrame, column: str, variants: DataFrame, out: str
 
 def strip_sql(column: str) -> str:
     """The base of `strip_qualifiers` as DuckDB SQL."""
-    quote = lambda p: p.replace("'", "''")
-    return reduce(lambda s, p: f"trim(regexp_replace({s}, '(?i){quote(p)}', '', 'g'))", QUALIFIERS, column)
+    quote = lambda p: wide(p).replace("'", "''")
+    trimmed = lambda s: f"regexp_replace({s}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+    return reduce(lambda s, p: trimmed(f"regexp_replace({s}, '(?i){quote(p)}', '', 'g')"), QUALIFIERS, column)

@@ -36,6 +36,15 @@ def normalize_notice(x: Column | str) -> Column:
     return F.regexp_replace(s, r"(\S)(\(\d+\))", "$1 $2")
 
 
+#: A blank of any script, as a class that Java and RE2 read alike.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def wide(pattern: str) -> str:
+    """A pattern whose blanks are those of every script."""
+    return pattern.replace(r"\s", BLANK)
+
+
 def first_number(x: Column | str, pattern: str) -> Column:
     """Group 1 of the first match as a double, null without one."""
     return F.nullif(F.regexp_extract(_c(x), pattern, 1), F.lit("")).try_cast("double")
@@ -58,11 +67,11 @@ def plain_numbers(x: Column | str) -> Column:
 
 def extract_abv(x: Column | str) -> Column:
     """The number before the first percent sign, or the whole text if it is a number."""
-    return F.coalesce(first_number(x, r"(?U)(\d+\.?\d*)\s*%"), first_number(F.trim(_c(x)), r"^(\d+\.?\d*)$"))
+    return F.coalesce(first_number(x, wide(r"(\d+\.?\d*)\s*%")), first_number(_c(x), wide(r"^\s*(\d+\.?\d*)\s*$")))
 
 
 def extract_proof(x: Column | str) -> Column:
-    return first_number(x, r"(\d+\.?\d*)\s*[Pp]roof")
+    return first_number(x, wide(r"(\d+\.?\d*)\s*[Pp]roof"))
 
 
 # Unit patterns in the order they are tried, factor to millilitres, resulting unit.
@@ -74,6 +83,7 @@ VOLUME_UNITS = [
     (r"(?i)(\d+\.?\d*)\s*MILLILITERS?\b", 1.0, "mL"),
     (r"(?i)(\d+\.?\d*)\s*(?:U\.?S\.?\s*)?(?:Gallons?|GAL\.?)\b", 3785.41, "mL"),
 ]
+VOLUME_UNITS = [(wide(p), f, u) for p, f, u in VOLUME_UNITS]
 FL_OZ = 29.5735
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caskwise.functions import kernels
-from caskwise.functions.text import FL_OZ, address_tokens, contains_all, eval_text, extract_abv, extract_proof, net_contents, normalize_company, normalize_fuzzy, normalize_notice, present, to_ml, tokens
+from caskwise.functions.text import FL_OZ, address_tokens, contains_all, eval_text, extract_abv, extract_proof, net_contents, normalize_company, normalize_fuzzy, normalize_notice, present, to_ml, tokens, wide
 
 #: Similarity from which a fuzzy rung matches.
 THRESHOLD = 85.0
@@ -28,12 +28,12 @@ def verdict(status: str, confidence: Column | float) -> Column:
 def percentages(text: Column) -> Column:
     """All numbers of a text that stand for a strength: with a percent sign, or beside ALC and VOL."""
     groups = [
-        (r"(?iU)(\d+\.?\d*)\s*%", 1),
+        (r"(\d+\.?\d*)\s*%", 1),
         (r"(?i)ALC(?:OHOL)?\.?\s*/?\s*VOL(?:UME)?\.?\s*(\d+\.?\d*)", 1),
         (r"(?i)(\d+\.?\d*)\s*ALC(?:OHOL)?\.?\s*/?\s*VOL(?:UME)?\.?", 1),
         (r"(?i)ALC\.?\s+(\d+\.?\d*)\s*(?:BY\s+VOL)?", 1),
     ]
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in groups))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(wide(p)), F.lit(g)) for p, g in groups))
     return F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), lambda x: x.cast("double")))
 
 
@@ -60,6 +60,9 @@ _VOLUMES = [
 ]
 
 
+_VOLUMES = [(wide(p), f) for p, f in _VOLUMES]
+
+
 def volumes(text: Column) -> Column:
     """Millilitres of all volumes in a text."""
 
@@ -129,14 +132,21 @@ def passage_found(text: Column, passage: str = NOTICE, anchor: str | None = None
     return F.when(held, verdict("match", 100)).when(~s.contains(begin), verdict("field_missing", 0))
 
 
-def survivors(df: DataFrame, out: str, native: Column, score: Callable[[], Column], threshold: float = THRESHOLD, full: bool = False) -> DataFrame:
-    """Add `out`: the native verdict where there is one, else by `score` on the rows that are left."""
-    marked = df.withColumn(out, native)
-    done, left = marked.where(F.col(out).isNotNull()), marked.where(F.col(out).isNull())
-    scored = left.withColumn("__score", score())
+Open = Callable[[Column], Column]
+
+
+def survivors(df: DataFrame, out: str, native: Column, score: Callable[[Open], Column | tuple[Column, Column]], threshold: float = THRESHOLD, full: bool = False) -> DataFrame:
+    """Add `out`: the native verdict where there is one, else by `score`, which gives a similarity (a match from `threshold` on) or one with whether it is a match.
+
+    `score` gets a function that blanks out what the native rungs decided, so in one pass over the rows kernels work on the others only.
+    """
+    marked = df.withColumn("__native", native)
+    found = score(lambda c: F.when(F.col("__native").isNull(), c))
+    value, match = found if isinstance(found, tuple) else (found, F.col("__score") >= threshold)
+    scored = marked.withColumn("__score", value)
     top = F.lit(100.0) if full else F.col("__score")
-    decided = F.when(F.col("__score") >= threshold, verdict("match", top)).otherwise(verdict("content_mismatch", F.col("__score")))
-    return done.unionByName(scored.withColumn(out, decided).drop("__score"))
+    decided = F.when(match, verdict("match", top)).otherwise(verdict("content_mismatch", F.col("__score")))
+    return scored.withColumn(out, F.coalesce("__native", decided)).drop("__score", "__native")
 
 
 def match_text(df: DataFrame, declared: str, text: str, out: str, partial: float = 90.0) -> DataFrame:
@@ -146,10 +156,10 @@ def match_text(df: DataFrame, declared: str, text: str, out: str, partial: float
     rows and other columns pass through.
     """
 
-    def score() -> Column:
-        a, b = normalize_fuzzy(declared), normalize_fuzzy(text)
+    def score(left: Open) -> tuple[Column, Column]:
+        a, b = left(normalize_fuzzy(declared)), left(normalize_fuzzy(text))
         by_set, part = kernels.token_set_udf(a, b), kernels.partial_ratio_udf(a, b)
-        return F.when(by_set >= THRESHOLD, by_set).when(part >= partial, part).otherwise(F.least(F.greatest(by_set, part), F.lit(THRESHOLD - 1e-9)))
+        return F.when(by_set >= THRESHOLD, by_set).when(part >= partial, part).otherwise(F.greatest(by_set, part)), (by_set >= THRESHOLD) | (part >= partial)
 
     return survivors(df, out, words_found(F.col(declared), F.col(text)), score)
 
@@ -160,20 +170,20 @@ def match_brand(df: DataFrame, declared: str, text: str, out: str) -> DataFrame:
 
 
 def match_company(df: DataFrame, declared: str, text: str, out: str) -> DataFrame:
-    return survivors(df, out, company_found(F.col(declared), F.col(text)), lambda: kernels.token_set_udf(normalize_company(declared), normalize_company(text)))
+    return survivors(df, out, company_found(F.col(declared), F.col(text)), lambda left: kernels.token_set_udf(left(normalize_company(declared)), left(normalize_company(text))))
 
 
 def match_address(df: DataFrame, declared: str, text: str, out: str) -> DataFrame:
-    return survivors(df, out, address_found(F.col(declared), F.col(text)), lambda: kernels.partial_ratio_udf(normalize_fuzzy(declared), normalize_fuzzy(text)))
+    return survivors(df, out, address_found(F.col(declared), F.col(text)), lambda left: kernels.partial_ratio_udf(left(normalize_fuzzy(declared)), left(normalize_fuzzy(text))))
 
 
 def match_passage(df: DataFrame, text: str, out: str, passage: str = NOTICE) -> DataFrame:
     """A passage held word for word, or a stretch from its beginning that is similar from 85 on."""
     begin = passage.split(":")[0].lower()
 
-    def score() -> Column:
+    def score(left: Open) -> Column:
         s, whole = F.lower(normalize_notice(text)), F.lower(normalize_notice(F.lit(passage)))
-        section = F.substring(s, F.instr(s, begin), 500)
+        section = left(F.substring(s, F.instr(s, begin), 500))
         return F.greatest(kernels.ratio_udf(section, whole), kernels.token_set_udf(section, whole))
 
     return survivors(df, out, passage_found(F.col(text), passage), score, full=True)
@@ -226,20 +236,20 @@ def exact_value(df: DataFrame, found: str, canonical: str, out: str) -> DataFram
     a, b = F.coalesce(F.col(found), F.lit("")), F.coalesce(F.col(canonical), F.lit(""))
     same = (F.lower(normalize_whitespace(a)) == F.lower(normalize_whitespace(b))) | (F.lower(normalize_notice(a)) == F.lower(normalize_notice(b)))
     native = F.when(same, verdict("match", 100))
-    return survivors(df, out, native, lambda: kernels.ratio_udf(F.lower(normalize_notice(a)), F.lower(normalize_notice(b))), threshold=100.1)
+    return survivors(df, out, native, lambda left: kernels.ratio_udf(left(F.lower(normalize_notice(a))), left(F.lower(normalize_notice(b)))), threshold=100.1)
 
 
 def address_value(df: DataFrame, found: str, declared: str, out: str) -> DataFrame:
     """An address found on its own: all its words declared, so a town and state are enough; else by similarity."""
     have, want = address_tokens(found), address_tokens(declared)
     native = F.when(~present(found) | (F.size(have) == 0), verdict("field_missing", 0)).when(contains_all(have, want), verdict("match", 100))
-    return survivors(df, out, native, lambda: kernels.fuzzy_udf(normalize_fuzzy(found), normalize_fuzzy(declared)))
+    return survivors(df, out, native, lambda left: kernels.fuzzy_udf(left(normalize_fuzzy(found)), left(normalize_fuzzy(declared))))
 
 
 def fuzzy_value(df: DataFrame, found: str, declared: str, out: str) -> DataFrame:
     """Brand, producer or country found on its own, by the blended similarity."""
     native = F.when(~present(found) | (normalize_fuzzy(found) == ""), verdict("field_missing", 0))
-    return survivors(df, out, native, lambda: kernels.fuzzy_udf(normalize_fuzzy(found), normalize_fuzzy(declared)))
+    return survivors(df, out, native, lambda left: kernels.fuzzy_udf(left(normalize_fuzzy(found)), left(normalize_fuzzy(declared))))
 
 
 def match_class(df: DataFrame, declared: str, text: str, variants: DataFrame, out: str) -> DataFrame:
@@ -256,5 +266,5 @@ def match_class(df: DataFrame, declared: str, text: str, variants: DataFrame, ou
         .when(contains_all(tokens(normalize_fuzzy("__term")), tokens(s)), verdict("match", 100))
         .when(held, verdict("match", 90))
     )
-    score = lambda: F.greatest(kernels.partial_ratio_udf(normalize_fuzzy("__term"), s), kernels.token_set_udf(normalize_fuzzy("__term"), s))
+    score = lambda left: F.greatest(kernels.partial_ratio_udf(left(normalize_fuzzy("__term")), left(s)), kernels.token_set_udf(left(normalize_fuzzy("__term")), left(s)))
     return survivors(joined, out, native, score).drop("__canonical", "__term", "__of", "__variants")

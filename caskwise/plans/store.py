@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,15 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return read_merged(self.spark, self._at(name))
 
+    def events(self, name: str, schema: str) -> DataFrame:
+        """Events of a kind; none before the first is written."""
+        try:
+            return self.read(name)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
     def add_sessions(self, sessions: DataFrame, applications: DataFrame, results: DataFrame, commit: str) -> None:
         """Three tables, then the marker under `commit`; a repeated commit is shown once, as ids stay the same."""
         for name, df in (("sessions", sessions), ("applications", applications), ("results", results)):
@@ -50,12 +60,12 @@ class Store:
 
     def sessions(self) -> DataFrame:
         """Sessions with their latest decision; status and score never change by it."""
-        last = latest(self.read("decisions"), ["session_id"], ["at", "event_id"]).select("session_id", F.col("decision").alias("agent_decision"), F.col("notes").alias("agent_notes"))
+        last = latest(self.events("decisions", "event_id string, session_id string, decision string, notes string, at timestamp"), ["session_id"], ["at", "event_id"]).select("session_id", F.col("decision").alias("agent_decision"), F.col("notes").alias("agent_notes"))
         return self.committed("sessions").join(last, "session_id", "left")
 
     def results(self) -> DataFrame:
         """Results with their latest override and the status that counts; an override marks a field as reviewed."""
-        last = latest(self.read("overrides"), ["session_id", "field_name"], ["at", "event_id"]).select("session_id", "field_name", "override_status", "override_note", F.lit(True).alias("__seen"))
+        last = latest(self.events("overrides", "event_id string, session_id string, field_name string, override_status string, override_note string, at timestamp"), ["session_id", "field_name"], ["at", "event_id"]).select("session_id", "field_name", "override_status", "override_note", F.lit(True).alias("__seen"))
         joined = self.committed("results").join(last, ["session_id", "field_name"], "left")
         return joined.withColumn("reviewed", F.coalesce("__seen", F.lit(False))).withColumn("effective_status", F.coalesce("override_status", "status")).drop("__seen")
 

@@ -1,7 +1,7 @@
 """The verification plan: declared fields against the text of every transcript, scored per session.
 
-Each transcript is matched by itself and the best finding of a field counts, so a session of
-very many transcripts is never brought together in one text; partial maxima cross the shuffle.
+Transcripts of a session are joined in order of their ids by blocks of ids, so a value may run over panels; the best
+finding of a field over the blocks counts, so a session of very many transcripts is never brought together in one text.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def findings(applications: DataFrame, documents: DataFrame, only: list[str] | No
 
     Fields that aren't asked for stay out of the plan; the expressions of an address are large.
     """
-    pairs = filings(applications).join(transcripts(documents), "session_id")
+    pairs = filings(applications).join(panel_blocks(documents), "session_id")
     text = F.col("text")
     fields = {
         "brand_name": lambda c: _native(c, text, words_found(c, text)),
@@ -84,7 +84,7 @@ def full_findings(applications: DataFrame, documents: DataFrame, variants: DataF
         "importer_name": match_company,
         "importer_address": match_address,
     }
-    pairs = cut(filings(applications).select("session_id", *ladders, "has_sulfites_declaration").join(transcripts(documents), "session_id"))
+    pairs = cut(filings(applications).select("session_id", *ladders, "has_sulfites_declaration").join(panel_blocks(documents), "session_id"))
     found = [m(pairs.where(F.col(f) != "").select("session_id", f, "text"), f, "text", "v").select("session_id", F.lit(f).alias("field_name"), "v") for f, m in ladders.items()]
     found.append(pairs.where("has_sulfites_declaration").select("session_id", F.lit("sulfites_declaration").alias("field_name"), presence("sulfites", F.col("text")).alias("v")))
     found.append(match_passage(pairs.select("session_id", "text"), "text", "v").select("session_id", F.lit("government_warning").alias("field_name"), "v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from caskwise.plans.evals import accuracy, confusion, differences, first_rows, l
 from caskwise.plans.history import batch_progress, effective_results, filings, history, latest, page, review_summary, weighted_confidence
 from caskwise.plans.store import reviewed_ratio, uncached
 from caskwise.plans.verify import full_findings, panel_blocks, scored, second_pass, transcripts, verified
-from caskwise.session import table
+from caskwise.session import shared_folder, table
 from caskwise.sources import forms, readers
 from caskwise.streaming.progress import drained
 
@@ -202,13 +203,14 @@ def id_mapping(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("expected_vs_actual", f"""
-select r.session_id, r.field_name, r.status, f.ai_correct
+select f.session_id, f.field_name, r.status, coalesce(f.ai_correct and r.status is not null, false) as correct
 from (select session_id, field_name, ai_correct from agent_feedback where session_id is not null and field_name is not null qualify row_number() over (partition by session_id, field_name order by created_at desc nulls last, feedback_id desc) = 1) f
-join {_LATEST} r on f.session_id = r.session_id and f.field_name = r.field_name""")
+left join {_LATEST} r on f.session_id = r.session_id and f.field_name = r.field_name""")
 def expected_vs_actual(spark: SparkSession, d: str) -> DataFrame:
     answers = latest(table(spark, d, "agent_feedback").where("session_id is not null and field_name is not null"), ["session_id", "field_name"], ["created_at", "feedback_id"])
     results = effective_results(table(spark, d, "comparison_results")).select("session_id", "field_name", "status")
-    return answers.select("session_id", "field_name", "ai_correct").join(results, ["session_id", "field_name"]).select("session_id", "field_name", "status", "ai_correct")
+    correct = F.coalesce(F.col("ai_correct") & F.col("status").isNotNull(), F.lit(False)).alias("correct")
+    return answers.select("session_id", "field_name", "ai_correct").join(results, ["session_id", "field_name"], "left").select("session_id", "field_name", "status", correct)
 
 
 # --- text and number functions -------------------------------------------------------------------
@@ -238,17 +240,23 @@ def company_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "applications").select("row_id", X.normalize_company("producer_name").alias("company"))
 
 
-@query("abv_and_proof", r"""
-select result_id, coalesce(try_cast(nullif(regexp_extract(extracted_value, '(\d+\.?\d*)\s*%', 1), '') as double), try_cast(nullif(regexp_extract(trim(extracted_value), '^(\d+\.?\d*)$', 1), '') as double)) as abv,
-       try_cast(nullif(regexp_extract(extracted_value, '(\d+\.?\d*)\s*[Pp]roof', 1), '') as double) as proof
-from comparison_results where field_name = 'alcohol_content' and not regexp_matches(coalesce(extracted_value, ''), '[^\x00-\x7f]')""")
-def abv_and_proof(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = table(spark, d, "comparison_results").where("field_name = 'alcohol_content'").where(~F.coalesce("extracted_value", F.lit("")).rlike(r"[^\x00-\x7f]"))
-    return ascii_only.select("result_id", X.extract_abv("extracted_value").alias("abv"), X.extract_proof("extracted_value").alias("proof"))
+def _plain(value: str) -> str:
+    """SQL: blanks and decimal digits of every script as ASCII."""
+    blanks = "[" + X.BLANK[1:-1] + r"\x{feff}]"
+    return f"translate(regexp_replace({value}, '{blanks}', ' ', 'g'), '{X._DIGITS}', '{X._ASCII_DIGITS}')"
+
+
+def _abv(value: str) -> str:
+    whole = X.wide(r"^\s*(\d+\.?\d*)\s*$")
+    return rf"coalesce(try_cast(nullif(regexp_extract({value}, '{X.wide(r'(\d+\.?\d*)\s*%')}', 1), '') as double), try_cast(nullif(regexp_extract({value}, '{whole}', 1), '') as double))"
+
+
+def _proof(value: str) -> str:
+    return f"try_cast(nullif(regexp_extract({value}, '{X.wide(r'(\d+\.?\d*)\s*[Pp]roof')}', 1), '') as double)"
 
 
-@query("abv_and_proof_full")
-def abv_and_proof_full(spark: SparkSession, d: str) -> DataFrame:
+@query("abv_and_proof", f"select result_id, {_abv('v')} as abv, {_proof('v')} as proof from (select result_id, {_plain('extracted_value')} as v from comparison_results where field_name = 'alcohol_content')")
+def abv_and_proof(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "comparison_results").where("field_name = 'alcohol_content'").withColumn("plain", X.plain_numbers("extracted_value"))
     return rows.select("result_id", X.extract_abv("plain").alias("abv"), X.extract_proof("plain").alias("proof"))
 
@@ -302,19 +310,18 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return events.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.ref").alias("ref"))
 
 
-@query("word_diffs", r"""
-with w as (
-    select result_id, list_filter(string_split_regex(coalesce(declared_value, ''), '\s+'), lambda t: t <> '') as a, list_filter(string_split_regex(coalesce(extracted_value, ''), '\s+'), lambda t: t <> '') as b
-    from comparison_results where field_name = 'brand_name' and not regexp_matches(coalesce(declared_value, '') || coalesce(extracted_value, ''), '[^\x00-\x7f]'))
-select result_id, len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: lower(a[i]) is null or lower(b[i]) is null or lower(a[i]) <> lower(b[i]))) as differing, greatest(len(a), len(b)) as words from w""")
-def word_diffs(spark: SparkSession, d: str) -> DataFrame:
-    brands = table(spark, d, "comparison_results").where("field_name = 'brand_name'").where(~F.concat(F.coalesce("declared_value", F.lit("")), F.coalesce("extracted_value", F.lit(""))).rlike(r"[^\x00-\x7f]"))
-    diff = brands.withColumn("diff", X.word_diff(F.col("declared_value"), F.col("extracted_value")))
-    return diff.select("result_id", F.size(F.filter("diff", lambda x: ~x["same"])).cast("bigint").alias("differing"), F.size("diff").cast("bigint").alias("words"))
+_BLANKS_SQL = "regexp_replace(coalesce({0}, ''), '[" + X.BLANK[1:-1] + r"\x{{feff}}]+', ' ', 'g')"
+_BLANKS_SQL = _BLANKS_SQL.replace("{0}", "@").replace("{{", "{").replace("}}", "}")
+
 
+def _split_sql(value: str) -> str:
+    return f"list_filter(string_split({_BLANKS_SQL.replace('@', value)}, ' '), lambda t: t <> '')"
 
-@query("word_diffs_full")
-def word_diffs_full(spark: SparkSession, d: str) -> DataFrame:
+
+@query("word_diffs", f"""
+with w as (select result_id, {_split_sql("declared_value")} as a, {_split_sql("extracted_value")} as b from comparison_results where field_name = 'brand_name')
+select result_id, len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: lower(a[i]) is null or lower(b[i]) is null or lower(a[i]) <> lower(b[i]))) as differing, greatest(len(a), len(b)) as words from w""")
+def word_diffs(spark: SparkSession, d: str) -> DataFrame:
     brands = table(spark, d, "comparison_results").where("field_name = 'brand_name'")
     diff = brands.withColumn("diff", X.word_diff(X.plain_blanks("declared_value"), X.plain_blanks("extracted_value")))
     return diff.select("result_id", F.size(F.filter("diff", lambda x: ~x["same"])).cast("bigint").alias("differing"), F.size("diff").cast("bigint").alias("words"))
@@ -371,9 +378,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WORDS = r"list_distinct(list_filter(string_split_regex({0}, '\s+'), lambda t: t <> ''))"
-_ABV_SQL = r"coalesce(try_cast(nullif(regexp_extract(alcohol_content, '(\d+\.?\d*)\s*%', 1), '') as double), try_cast(nullif(regexp_extract(trim(alcohol_content), '^(\d+\.?\d*)$', 1), '') as double))"
-_PCT_SQL = r"""list_transform(list_filter(list_concat(regexp_extract_all(text, '(\d+\.?\d*)\s*%', 1), regexp_extract_all(text, '(?i)ALC(?:OHOL)?\.?\s*/?\s*VOL(?:UME)?\.?\s*(\d+\.?\d*)', 1),
-    regexp_extract_all(text, '(?i)(\d+\.?\d*)\s*ALC(?:OHOL)?\.?\s*/?\s*VOL(?:UME)?\.?', 1), regexp_extract_all(text, '(?i)ALC\.?\s+(\d+\.?\d*)\s*(?:BY\s+VOL)?', 1)), lambda x: x <> ''), lambda x: x::double)"""
+_ABV_SQL = _abv("alcohol_content")
+_PCT_SQL = X.wide(r"""list_transform(list_filter(list_concat(regexp_extract_all(text, '(\d+\.?\d*)\s*%', 1), regexp_extract_all(text, '(?i)ALC(?:OHOL)?\.?\s*/?\s*VOL(?:UME)?\.?\s*(\d+\.?\d*)', 1),
+    regexp_extract_all(text, '(?i)(\d+\.?\d*)\s*ALC(?:OHOL)?\.?\s*/?\s*VOL(?:UME)?\.?', 1), regexp_extract_all(text, '(?i)ALC\.?\s+(\d+\.?\d*)\s*(?:BY\s+VOL)?', 1)), lambda x: x <> ''), lambda x: x::double)""")
 
 
 @query("abv_match", f"""
@@ -468,21 +475,12 @@ def similarity_kernels(spark: SparkSession, d: str) -> DataFrame:
     return brands.select("result_id", *(F.round(f(a, b), 4).alias(n) for n, f in kernels))
 
 
-@query("abv_agreement", r"""
-with v as (
-    select result_id, nullif(extracted_value, '') as e, coalesce(try_cast(nullif(regexp_extract(extracted_value, '(\d+\.?\d*)\s*%', 1), '') as double), try_cast(nullif(regexp_extract(trim(extracted_value), '^(\d+\.?\d*)$', 1), '') as double)) as a,
-           coalesce(try_cast(nullif(regexp_extract(declared_value, '(\d+\.?\d*)\s*%', 1), '') as double), try_cast(nullif(regexp_extract(trim(declared_value), '^(\d+\.?\d*)$', 1), '') as double)) as b,
-           try_cast(nullif(regexp_extract(extracted_value, '(\d+\.?\d*)\s*[Pp]roof', 1), '') as double) as p
-    from comparison_results where field_name = 'alcohol_content' and not regexp_matches(coalesce(declared_value, '') || coalesce(extracted_value, ''), '[^\x00-\x7f]'))
+@query("abv_agreement", f"""
+with p as (select result_id, {_plain("extracted_value")} as x, {_plain("declared_value")} as y from comparison_results where field_name = 'alcohol_content'),
+v as (select result_id, nullif(x, '') as e, {_abv("x")} as a, {_abv("y")} as b, {_proof("x")} as p from p)
 select result_id, case when e is null or a is null then 'field_missing' when b is null then 'content_mismatch' when abs(a - b) <= 0.1 then 'match' else 'content_mismatch' end as status,
        coalesce(abs(p - a * 2) > 0.5, false) as proof_differs from v""")
 def abv_agreement(spark: SparkSession, d: str) -> DataFrame:
-    plain = table(spark, d, "comparison_results").where("field_name = 'alcohol_content'").where(~F.concat(F.coalesce("declared_value", F.lit("")), F.coalesce("extracted_value", F.lit(""))).rlike(r"[^\x00-\x7f]"))
-    return plain.select("result_id", M.abv_agrees(F.col("extracted_value"), F.col("declared_value")).alias("v")).select("result_id", "v.*")
-
-
-@query("abv_agreement_full")
-def abv_agreement_full(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "comparison_results").where("field_name = 'alcohol_content'")
     return rows.select("result_id", M.abv_agrees(X.plain_numbers("extracted_value"), X.plain_numbers("declared_value")).alias("v")).select("result_id", "v.*")
 
@@ -493,8 +491,15 @@ def contents_agreement(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("result_id", M.contents_agree(F.col("extracted_value"), F.col("declared_value"))["status"].alias("status"))
 
 
+_SESSION_TEXTS = f"""texts as (
+    select session_id, doc_id // 1000 as doc_id, string_agg(text, chr(10) order by doc_id) as text from documents where session_id is not null and panel_type is not null and text is not null group by 1, 2),
+pairs as (
+    select a.session_id, d.doc_id, d.text, a.brand_name, a.alcohol_content, a.net_contents, a.producer_name, a.producer_address, a.country_of_origin, a.has_sulfites_declaration
+    from {_FILINGS} a join texts d on a.session_id = d.session_id)"""
+
+
 @query("verify_pipeline", f"""
-with {_PAIRS},
+with {_SESSION_TEXTS},
 brand as (select session_id, doc_id, 'brand_name' as field_name, {_WORDS.format(_FUZZY.format("brand_name"))} as want, {_WORDS.format(_FUZZY.format("text"))} as have, 1.5::double as w from pairs where brand_name <> ''
     union all select session_id, doc_id, 'country_of_origin', {_WORDS.format(_FUZZY.format("country_of_origin"))}, {_WORDS.format(_FUZZY.format("text"))}, 0.8 from pairs where country_of_origin <> ''),
 brand2 as (select *, list_filter(want, lambda w: not list_contains(have, w)) as lacking from brand),
@@ -587,8 +592,9 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
 @query("json_lines_roundtrip", "select result_id, field_name, status, confidence from comparison_results")
 def json_lines_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "comparison_results").select("result_id", "field_name", "status", "confidence")
-    line = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
-    return line.select(F.from_json("line", "result_id bigint, field_name string, status string, confidence double").alias("x")).select("x.*")
+    out = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows.write.json(out)
+    return readers.read_lines(spark, out, "result_id bigint, field_name string, status string, confidence double").drop("_corrupt")
 
 
 @query("tpch_pricing", """
@@ -602,14 +608,8 @@ def tpch_pricing(spark: SparkSession, d: str) -> DataFrame:
 # --- designations, fields found on their own -----------------------------------------------------
 
 
-@query("qualifier_strip", f"select row_id, class_type, {C.strip_sql('class_type')} as base from applications where class_type is not null and not regexp_matches(class_type, '[^\\x00-\\x7f]')")
+@query("qualifier_strip", f"select row_id, class_type, {C.strip_sql('class_type')} as base from applications where class_type is not null")
 def qualifier_strip(spark: SparkSession, d: str) -> DataFrame:
-    plain = table(spark, d, "applications").where("class_type is not null").where(~F.col("class_type").rlike(r"[^\x00-\x7f]"))
-    return plain.select("row_id", "class_type", C.strip_qualifiers(F.col("class_type"))["base"].alias("base"))
-
-
-@query("qualifier_strip_full")
-def qualifier_strip_full(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "applications").where("class_type is not null").select("row_id", "class_type", C.strip_qualifiers(F.col("class_type"))["base"].alias("base"))
 
 
@@ -683,5 +683,8 @@ select result_id, json_extract_string(to_json({'value': extracted_value, 'conf':
 from comparison_results where extracted_value is not null""")
 def repaired_replies(spark: SparkSession, d: str) -> DataFrame:
     field = F.struct(F.col("extracted_value").alias("value"), F.col("extraction_confidence").alias("conf"))
-    replies = table(spark, d, "comparison_results").where("extracted_value is not null").select("result_id", F.to_json(F.struct(field.alias("f"))).alias("reply"))
+    # every reply stands in a code fence and is broken off before its closing brackets
+    whole = F.to_json(F.struct(field.alias("f")))
+    broken = F.concat(F.lit("```json\n"), F.substring(whole, F.lit(1), F.char_length(whole) - 2))
+    replies = table(spark, d, "comparison_results").where("extracted_value is not null").select("result_id", broken.alias("reply"))
     return readers.reply_fields(replies, "reply").select("result_id", F.col("fields")["f"]["value"].alias("value"), F.col("fields")["f"]["conf"].alias("conf"))

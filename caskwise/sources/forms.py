@@ -70,7 +70,7 @@ def is_signature(pixels: Column, white: float = 0.80, grey: float = 0.95) -> Col
     n = F.size(pixels)
     part = lambda test: F.try_divide(F.size(F.filter(pixels, test)), n)
     is_white = lambda p: (p["r"] > 240) & (p["g"] > 240) & (p["b"] > 240)
-    is_grey = lambda p: (F.greatest(p["r"], p["g"], p["b"]) - F.least(p["r"], p["g"], p["b"])) < 15
+    is_grey = lambda p: (F.abs(p["r"].cast("int") - p["g"].cast("int")) < 15) & (F.abs(p["g"].cast("int") - p["b"].cast("int")) < 15)
     return F.coalesce((part(is_white) >= white) & (part(is_grey) >= grey), F.lit(False))
 
 

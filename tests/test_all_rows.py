@@ -37,23 +37,23 @@ def folder(spark, tmp_path):
 def test_all_rows_against_python(spark, rows, folder):
     d, pairs = folder
     run = lambda name: {r[0]: tuple(r)[1:] for r in entry.queries()[name](spark, d).collect()}
-    assert run("abv_and_proof_full") == {2 * n: (abv(b), proof(b)) for n, (_, b) in enumerate(pairs)}
+    assert run("abv_and_proof") == {2 * n: (abv(b), proof(b)) for n, (_, b) in enumerate(pairs)}
     agreed = {}
     for n, (a, b) in enumerate(pairs):
         found, declared = abv(b), abv(a)
         status = "field_missing" if not b or found is None else "match" if declared is not None and abs(found - declared) <= 0.1 else "content_mismatch"
         agreed[2 * n] = (status, proof(b) is not None and found is not None and abs(proof(b) - 2 * found) > 0.5)
-    assert run("abv_agreement_full") == agreed
+    assert run("abv_agreement") == agreed
     diffs = {}
     for n, (a, b) in enumerate(pairs):
         x, y = (a or "").lower().split(), (b or "").lower().split()
         most = max(len(x), len(y))
         diffs[2 * n + 1] = (sum(x[i : i + 1] != y[i : i + 1] for i in range(most)), most)
-    assert run("word_diffs_full") == diffs
+    assert run("word_diffs") == diffs
     bases = {}
     for n, base in enumerate(CLASSES):
         text = base
         for p in QUALIFIERS:
             text = re.sub(p, "", text, flags=re.IGNORECASE).strip()
         bases[n] = (base, text)
-    assert run("qualifier_strip_full") == bases
+    assert run("qualifier_strip") == bases
