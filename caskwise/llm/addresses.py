@@ -230,6 +230,9 @@ def relation(x: dict, y: dict, weight: dict[str, float] | None = None) -> str:
     in_y = held(x["words"], odd_left) and _subset(x["directions"], y["directions"]) and (not x["kind"] or bool(y["kind"]) or len(right) > len(left))
     in_x = held(y["words"], odd_right) and _subset(y["directions"], x["directions"]) and (not y["kind"] or bool(x["kind"]) or len(left) > len(right))
     if in_y and in_x:
+        placed_x, placed_y = bool(x["code"] or x["state"]), bool(y["code"] or y["state"])
+        if placed_x != placed_y and x["kind"] == y["kind"] and x["directions"] == y["directions"]:
+            return "in" if placed_y else "has"  # without state and code a town's name may fit several
         return "same" if bool(x["kind"]) == bool(y["kind"]) and x["directions"] == y["directions"] else ("in" if len(x["directions"]) + bool(x["kind"]) < len(y["directions"]) + bool(y["kind"]) else "has")
     return "in" if in_y else "has" if in_x else ""
 
@@ -263,17 +266,15 @@ def one_left_out(word: str) -> F.Column:
 
 def containment_pairs(forms: DataFrame) -> DataFrame:
     """(a, b, relation) of distinct forms, a < b, that are alike or contained in each other."""
-    tokens = forms.select(
-        "form",
-        F.explode(
-            F.array_distinct(F.concat(F.transform("words", lambda w: F.concat_ws("|", F.lit("w"), "number", w)), F.when(F.col("code").isNotNull(), F.array(F.concat_ws("|", F.lit("c"), "number", "code"))).otherwise(F.array().cast("array<string>"))))
-        ).alias("token"),
-    )
+    word = F.transform("words", lambda w: F.struct(F.concat_ws("|", F.lit("w"), "number").alias("tag"), w.alias("text")))
+    code = F.when(F.col("code").isNotNull(), F.array(F.struct(F.concat_ws("|", F.lit("c"), "number").alias("tag"), F.col("code").alias("text")))).otherwise(F.slice(word, 1, 0))
+    tokens = forms.select("form", F.explode(F.array_distinct(F.concat(word, code))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     ranked = tokens.join(counts, "token").groupBy("form").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, INDEXED).alias("rarest"))
 
     def keys(df: DataFrame) -> DataFrame:
-        return df.withColumn("key", F.explode(F.when(F.col("token").startswith("w|"), one_left_out("token")).otherwise(F.array("token")))).select("form", "key")
+        texts = F.when(F.startswith("token.tag", F.lit("w")), one_left_out("token.text")).otherwise(F.array("token.text"))
+        return df.select("form", "token", F.explode(texts).alias("text")).select("form", F.xxhash64("token.tag", "text").alias("key"))
 
     index = keys(ranked.select("form", F.explode("rarest.token").alias("token"))).withColumnRenamed("form", "indexed")
     pairs = index.join(keys(tokens), "key").where("indexed <> form").select(F.least("indexed", "form").alias("a"), F.greatest("indexed", "form").alias("b")).distinct()
@@ -289,7 +290,7 @@ def containment_pairs(forms: DataFrame) -> DataFrame:
         load = lru_cache(maxsize=20_000)(json.loads)
         return pd.Series([relation(load(x), load(y), dict(u or ()) | dict(v or ())) for x, y, u, v in zip(a, b, wa, wb, strict=True)], dtype=object)
 
-    agree = " and ".join(f"coalesce(get_json_object(a, '$.{p}') = get_json_object(b, '$.{p}'), true)" for p in ("code", "state", "kind"))
+    agree = " and ".join(f"coalesce(get_json_object(a, '$.{p}') = get_json_object(b, '$.{p}'), true)" for p in ("number", "code", "state", "kind"))
     weighed = (
         pairs.where(agree)
         .join(weights.select(F.col("form").alias("a"), F.col("weights").alias("wa")), "a", "left")

@@ -39,6 +39,12 @@ def test_left_out_part_that_fits_two_places_fits_none(spark):
     assert found(spark, values) == set()
 
 
+def test_town_without_state_that_fits_two_fits_none(spark):
+    values = ["12 Main Street, Springfield, IL 62701", "12 Main Street, Springfield, MA 01101", "12 Main Street, Springfield"]
+    assert found(spark, values) == set()
+    assert found(spark, values[1:]) == {("12 Main Street, Springfield", "12 Main Street, Springfield, MA 01101")}
+
+
 def test_nulls_towns_repeats_and_empty(spark):
     values = [None, "", "Cegham, Kentucky", "7 Mill Court, Cegham, KY 84137", "7 Mill Court, Cegham, KY 84137", "x" * 100_000, "?!", "7 Mill Ct, Cegham"]
     assert found(spark, values) == {("7 Mill Court, Cegham, KY 84137", "7 Mill Ct, Cegham")}
