@@ -25,6 +25,50 @@ COUNTRIES = {
 }
 
 
+# Designations of filing categories with the spirit they stand for, spirits, and patterns of further categories in the order
+# in which they are tried; a pattern's group has to be one of the spirits.
+ADMINISTRATIVE = {
+    "specialties & proprietaries": None, "whisky specialties": "whisky", "gin specialties": "gin", "vodka specialties": "vodka", "rum specialties": "rum",
+    "other specialties & proprietaries": None, "whisky proprietary": "whisky", "malt beverages specialities - flavored": None, "malt beverages specialities": None,
+}
+SPIRITS = ["whisky", "whiskey", "gin", "vodka", "rum", "brandy", "tequila", "mezcal", "cognac", "armagnac"]
+CATEGORIES = [
+    r"^(\w+)\s+specialt?ies$", r"^(\w+)\s+proprietary$", r"^other\s+.*specialt?ies\b",
+    r"^other\s+\w+.*(?:cordials|liqueurs|brandy|whisky|whiskey|gin|rum|vodka|tequila)\b", r"^malt\s+beverages?\s+specialt?ies\b",
+]
+
+
+def administrative(x: Column) -> Column:
+    """struct<is_administrative, spirit>: whether a class is a filing category, which no label shows, and the spirit it stands for.
+
+    Null and blank texts are none.
+    """
+    s = F.lower(_trimmed(F.regexp_replace(x, f"{BLANK}+", " ")))
+    yes = lambda spirit: F.struct(F.lit(True).alias("is_administrative"), spirit.cast("string").alias("spirit"))
+    found = F.when(F.coalesce(s, F.lit("")) == "", F.struct(F.lit(False).alias("is_administrative"), F.lit(None).cast("string").alias("spirit")))
+    for name, spirit in ADMINISTRATIVE.items():
+        found = found.when(s == name, yes(F.lit(spirit)))
+    for p in CATEGORIES:
+        if "(\\w+)" in p:
+            spirit = F.regexp_extract(s, f"(?U){p}", 1)
+            found = found.when(spirit.isin(*SPIRITS), yes(spirit))
+        else:
+            found = found.when(s.rlike(f"(?U){p}"), yes(F.lit(None)))
+    return found.otherwise(F.struct(F.lit(False).alias("is_administrative"), F.lit(None).cast("string").alias("spirit")))
+
+
+def administrative_sql(x: str) -> str:
+    """`administrative` as SQL: a struct of the same fields."""
+    row = lambda yes, spirit: f"{{'is_administrative': {yes}, 'spirit': {spirit}}}"
+    s = f"lower(trim(regexp_replace({x}, '{BLANK}+', ' ', 'g')))"
+    cases = [f"when coalesce({s}, '') = '' then {row('false', 'null::varchar')}"]
+    cases += [f"when {s} = '{n}' then {row('true', f"'{v}'" if v else 'null')}" for n, v in ADMINISTRATIVE.items()]
+    for p in CATEGORIES:
+        got = f"regexp_extract({s}, '{p}', 1)"
+        cases.append(f"when {got} in ({', '.join(f"'{w}'" for w in SPIRITS)}) then {row('true', got)}" if "(\\w+)" in p else f"when regexp_matches({s}, '{p}') then {row('true', 'null')}")
+    return f"case {' '.join(cases)} else {row('false', 'null')} end"
+
+
 def country(x: Column) -> Column:
     """The English name where the text is a known name in another language, else the text as it is."""
     names = F.create_map(*(F.lit(s) for pair in COUNTRIES.items() for s in pair))

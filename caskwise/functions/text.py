@@ -188,6 +188,16 @@ def cache_key(content: Column | str, prompt: str) -> Column:
     return F.sha2(F.concat(F.encode(_c(content), "utf-8"), F.encode(F.lit(prompt), "utf-8")), 256)
 
 
+# Media types of image files by their ending; the first is that of all others.
+MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif"}
+
+
+def media_type(name: Column | str) -> Column:
+    ending = F.lower(F.element_at(F.split(_c(name), r"\."), -1))
+    types = F.create_map(*(F.lit(s) for pair in MEDIA_TYPES.items() for s in pair))
+    return F.when(_c(name).isNotNull(), F.coalesce(types[ending], F.lit("image/jpeg")))
+
+
 def word_diff(canonical: Column, found: Column) -> Column:
     """array<struct<want, got, same>> of two texts word by word; missing words are '___', surplus ones follow."""
     split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")

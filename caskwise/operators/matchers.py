@@ -252,10 +252,35 @@ def fuzzy_value(df: DataFrame, found: str, declared: str, out: str) -> DataFrame
     return survivors(df, out, native, lambda left: kernels.fuzzy_udf(left(normalize_fuzzy(found)), left(normalize_fuzzy(declared))))
 
 
-def match_class(df: DataFrame, declared: str, text: str, variants: DataFrame, out: str) -> DataFrame:
-    """Class words in the text: all of the canonical (else stripped) name, or a variant of the same class, else by similarity."""
+def present_value(found: Column, required: Column | bool = True) -> Column:
+    """Whether a field was found at all; one that isn't required matches."""
+    needed = required if isinstance(required, Column) else F.lit(required)
+    return F.when(present(found) | ~F.coalesce(needed, F.lit(False)), verdict("match", 100)).otherwise(verdict("field_missing", 0))
+
+
+def class_value(df: DataFrame, found: str, declared: str, variants: DataFrame, out: str) -> DataFrame:
+    """A class found on its own: by the canonical names of both sides, 100 or 0; where one has none, all declared words found give 95, else by similarity.
+
+    Texts without a canonical name are compared without their qualifiers. Blank found values are missing.
+    """
     from caskwise.functions.classes import normalize_classes, strip_qualifiers
 
+    named = normalize_classes(normalize_classes(df, found, variants, "__f"), declared, variants, "__d")
+    a, b = (F.coalesce(c, strip_qualifiers(F.trim(F.col(v)))["base"], F.lit("")) for c, v in (("__f", found), ("__d", declared)))
+    words = tokens(normalize_fuzzy(b))
+    native = (
+        F.when(~F.coalesce(F.trim(F.col(found)) != "", F.lit(False)), verdict("field_missing", 0))
+        .when(F.col("__f") == F.col("__d"), verdict("match", 100))
+        .when(F.col("__f").isNotNull() & F.col("__d").isNotNull(), verdict("content_mismatch", 0))
+        .when((F.size(words) > 0) & contains_all(words, tokens(normalize_fuzzy(a))), verdict("match", 95))
+    )
+    return survivors(named, out, native, lambda left: kernels.fuzzy_udf(left(normalize_fuzzy(a)), left(normalize_fuzzy(b)))).drop("__f", "__d")
+
+
+def match_class(df: DataFrame, declared: str, text: str, variants: DataFrame, out: str) -> DataFrame:
+    """A filing category is uncertain, as no label shows it. Else class words in the text: all of the canonical (else stripped) name, or a variant of the same class, else by similarity."""
+    from caskwise.functions.classes import administrative, normalize_classes, strip_qualifiers
+
     named = normalize_classes(df, declared, variants, "__canonical").withColumn("__term", F.coalesce("__canonical", F.nullif(strip_qualifiers(F.col(declared))["base"], F.lit("")), F.col(declared)))
     classes = variants.where("variant is not null").groupBy("canonical").agg(F.collect_set(normalize_fuzzy("variant")).alias("__variants")).withColumnRenamed("canonical", "__of")
     joined = named.join(classes, F.col("__canonical") == F.col("__of"), "left")
@@ -263,6 +288,7 @@ def match_class(df: DataFrame, declared: str, text: str, variants: DataFrame, ou
     held = F.exists(F.coalesce("__variants", F.array().cast("array<string>")), lambda v: F.concat(F.lit(" "), s, F.lit(" ")).contains(F.concat(F.lit(" "), v, F.lit(" "))))
     native = (
         F.when(~present(declared), verdict("field_missing", 0))
+        .when(administrative(F.col(declared))["is_administrative"], verdict("extraction_uncertain", 50))
         .when(contains_all(tokens(normalize_fuzzy("__term")), tokens(s)), verdict("match", 100))
         .when(held, verdict("match", 90))
     )

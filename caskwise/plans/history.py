@@ -43,6 +43,28 @@ def page(df: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
     return df.orderBy(F.col("created_at").desc_nulls_last(), "session_id").offset((number - 1) * size).limit(size)
 
 
+def pages(total: Column, size: int = 20) -> Column:
+    """Pages that so many rows fill."""
+    return F.ceil(total / size)
+
+
+def by_position(x: Column, order: list[str], unknown: int = 999) -> Column:
+    """Place of a value in a list, from 1, to sort by; values that aren't in it come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), x), F.lit(0)), F.lit(unknown))
+
+
+def final_status(total: Column, failed: Column) -> Column:
+    """A batch has failed if all of its items have."""
+    return F.when(total == failed, "failed").otherwise("completed")
+
+
+def merged(*maps: Column) -> Column:
+    """One map of several; later ones win, null maps add nothing."""
+    entries = F.flatten(F.filter(F.array(*map(F.map_entries, maps)), lambda m: m.isNotNull()))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+
+
 def batch_progress(batches: DataFrame, sessions: DataFrame) -> DataFrame:
     """Counters derived from the sessions beside the stored ones that drift from them."""
     done = F.col("status").isin("pass", "needs_review", "fail")

@@ -45,6 +45,17 @@ class Store:
     def committed(self, name: str) -> DataFrame:
         return self.read(name).join(self.read("commits").select("commit_id").distinct(), "commit_id", "left_semi").drop("commit_id").distinct()
 
+    def add_batch(self, batches: DataFrame, skipped: DataFrame) -> None:
+        """Batches (batch_id, total_items, created_at), which begin as 'processing', and the items that were left out with their reasons."""
+        append(batches.withColumn("status", F.lit("processing")), self._at("batches"))
+        append(skipped, self._at("skipped"))
+
+    def feedback(self, events: DataFrame) -> DataFrame:
+        """Append answers (event_id, session_id, ai_correct, field_name, note, at) on known sessions; returns those refused."""
+        known = events.join(self.committed("sessions").select("session_id"), "session_id", "left_semi")
+        append(known, self._at("feedback"))
+        return events.join(known.select("event_id"), "event_id", "left_anti")
+
     def decide(self, decisions: DataFrame) -> DataFrame:
         """Append decisions (event_id, session_id, decision, notes, at); returns those refused: unknown session or decision."""
         known = decisions.join(self.committed("sessions").select("session_id"), "session_id", "left_semi").where(F.col("decision").isin(*DECISIONS))

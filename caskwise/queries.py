@@ -15,7 +15,7 @@ from caskwise.functions import text as X
 from caskwise.operators import matchers as M
 from caskwise.operators.units import stated_quantities
 from caskwise.plans.evals import accuracy, confusion, differences, first_rows, long_form, stratified
-from caskwise.plans.history import batch_progress, effective_results, filings, history, latest, page, review_summary, weighted_confidence
+from caskwise.plans.history import batch_progress, by_position, final_status, pages, effective_results, filings, history, latest, page, review_summary, weighted_confidence
 from caskwise.plans.store import reviewed_ratio, uncached
 from caskwise.plans.verify import full_findings, panel_blocks, scored, second_pass, transcripts, verified
 from caskwise.session import shared_folder, table
@@ -688,3 +688,51 @@ def repaired_replies(spark: SparkSession, d: str) -> DataFrame:
     broken = F.concat(F.lit("```json\n"), F.substring(whole, F.lit(1), F.char_length(whole) - 2))
     replies = table(spark, d, "comparison_results").where("extracted_value is not null").select("result_id", broken.alias("reply"))
     return readers.reply_fields(replies, "reply").select("result_id", F.col("fields")["f"]["value"].alias("value"), F.col("fields")["f"]["conf"].alias("conf"))
+
+
+# --- further operators ---------------------------------------------------------------------------
+
+
+@query("filing_categories", f"select row_id, (v).is_administrative as is_administrative, (v).spirit as spirit from (select row_id, {C.administrative_sql('class_type')} as v from applications)")
+def filing_categories(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "applications").select("row_id", C.administrative(F.col("class_type")).alias("v")).select("row_id", "v.*")
+
+
+@query("class_values")
+def class_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "comparison_results").where("field_name = 'class_type' and declared_value is not null").select("result_id", "declared_value", "extracted_value")
+    return M.class_value(rows, "extracted_value", "declared_value", _variants(spark, d), "v").select("result_id", "v.status", F.round("v.confidence", 4).alias("confidence"))
+
+
+@query("present_values", "select result_id, case when coalesce(extracted_value, '') <> '' then 'match' else 'field_missing' end as status from comparison_results")
+def present_values(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "comparison_results").select("result_id", M.present_value(F.col("extracted_value"))["status"].alias("status"))
+
+
+@query("history_pages", "select status, cast(ceil(count(*) / 20.0) as bigint) as pages from verification_sessions group by status")
+def history_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "verification_sessions").groupBy("status").agg(pages(F.count("*")).alias("pages"))
+
+
+@query("listed_order", "select session_id, coalesce(nullif(coalesce(list_position(['fail', 'needs_review', 'pass'], status), 0), 0), 999) as place from verification_sessions where status is not null")
+def listed_order(spark: SparkSession, d: str) -> DataFrame:
+    place = by_position(F.col("status"), ["fail", "needs_review", "pass"]).alias("place")
+    return table(spark, d, "verification_sessions").where("status is not null").select("session_id", place).orderBy("place", "session_id")
+
+
+@query("batch_outcome", "select batch_id, case when total_items = failed_items then 'failed' else 'completed' end as outcome from batches")
+def batch_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "batches").select("batch_id", final_status(F.col("total_items"), F.col("failed_items")).alias("outcome"))
+
+
+@query("media_types", r"""
+select row_id, trim(f) as image, case when regexp_matches(lower(f), '\.png$') then 'image/png' when regexp_matches(lower(f), '\.webp$') then 'image/webp' when regexp_matches(lower(f), '\.gif$') then 'image/gif' else 'image/jpeg' end as media_type
+from (select row_id, trim(unnest(string_split(images, ';'))) as f from test_applications) where f <> ''""")
+def media_types(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "test_applications").select("row_id", F.explode(F.split("images", ";")).alias("f")).select("row_id", F.trim("f").alias("image")).where("image <> ''")
+    return files.select("row_id", "image", X.media_type("image").alias("media_type"))
+
+
+@query("encoded_documents", "select doc_id, sha256(to_base64(encode(text))) as digest from documents where text is not null")
+def encoded_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(F.regexp_replace(F.base64(F.encode("text", "utf-8")), r"\s", ""), 256).alias("digest"))
