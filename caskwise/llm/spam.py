@@ -32,7 +32,8 @@ HOSTS, REPEATS, SHARE = 2, 3, 0.5
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^<>]*>[^<]*</a\s*>|(?:https?://|www\.)\S+", re.I)
 _TAG = re.compile(r"#\w[\w\-]*|\btags?:\s?\w[\w\-]*", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_MARK = re.compile(r"\s*([,;|/•·])\s*")
+MARKS = ",;|/•·"
+_MARK = re.compile(rf"\s*([{MARKS}])\s*")
 #: Characters that belong to the list they stand in.
 _BETWEEN = re.compile(r"[^\w]*")
 
@@ -62,6 +63,8 @@ def _varied(words: list[str]) -> list[bool]:
 
 def _item_runs(text: str, found: list[re.Match[str]]) -> list[list[tuple[int, int]]]:
     """Runs of at least ITEMS items of up to ITEM_WORDS words with one and the same mark between them, each item as first and last word."""
+    if max(map(text.count, MARKS)) < ITEMS - 1:
+        return []
     runs: list[list[tuple[int, int]]] = []
     run: list[tuple[int, int]] = []
     kind, first = "", 0
