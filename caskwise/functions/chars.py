@@ -24,7 +24,9 @@ LOOKALIKES = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "α": "a", "ε": "e", "ι": "i", "κ": "k",
     "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "η": "n", "ω": "w", "ϲ": "c",
     "ϳ": "j", "σ": "o", "β": "ß",
-    # Armenian, Cherokee and Latin small capitals are left to the script rule below.
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Armenian
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Օ": "O", "Տ": "S",
 }
 
@@ -35,8 +37,8 @@ INVISIBLE = (
 )
 #: Blanks other than the ordinary space and line breaks.
 BLANKS = r"\t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
-#: Letters and digits of another width, and letters joined in one character.
-WIDE = r"\uff01-\uff5e\uff61-\uff9f\uffe0-\uffee"
+#: Letters and digits of another width or of mathematical alphabets, and letters joined in one character. Latin small capitals are letters of their own.
+WIDE = r"\uff01-\uff5e\uff61-\uff9f\uffe0-\uffee\U0001d400-\U0001d7ff"
 LIGATURES = r"\ufb00-\ufb06\ufb13-\ufb17\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3"
 
 _INVISIBLE = re.compile(f"[{INVISIBLE}\\U000e0000-\\U000e0fff]")

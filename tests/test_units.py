@@ -68,6 +68,7 @@ def test_consistent_form():
     assert consistent("Ｏｌｄ　Tom") == "Old Tom"
     assert consistent("Cuvée ﬁne") == "Cuvée fine"
     assert consistent("Wһiѕkу Коньяк") == "Whisky Коньяк"
+    assert consistent("𝐎𝐥𝐝 Ꮃhisky ᎣᎣ") == "Old Whisky ᎣᎣ"
     assert consistent("a​b­c\n6° ß ® ’") == "abc\n6° ß ® ’"
     assert consistent(None) is None
     assert consistent("") == ""
