@@ -39,9 +39,9 @@ w as (
     from v where value is not null and not regexp_full_match(value, '[\x20-\x7e\n\r]*'))
 select result_id, side from w
 where nfc_normalize(value) <> value
-   or regexp_matches(value, '[\x{ff01}-\x{ff5e}\x{ff61}-\x{ff9f}\x{ffe0}-\x{ffee}\x{fb00}-\x{fb06}]')
+   or regexp_matches(value, '[\x{ff01}-\x{ff5e}\x{ff61}-\x{ff9f}\x{ffe0}-\x{ffee}\x{fb00}-\x{fb06}\x{1d400}-\x{1d7ff}]')
    or regexp_matches(value, '[\t\x{a0}\x{1680}\x{2000}-\x{200f}\x{202a}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{ad}\x{34f}\x{61c}\x{180e}\x{feff}\x{fe00}-\x{fe0f}]')
-   or len(list_filter(words, lambda x: regexp_matches(x, '\p{Latin}') and regexp_matches(x, '[\p{Cyrillic}\p{Greek}\p{Armenian}]'))) > 0
+   or len(list_filter(words, lambda x: regexp_matches(x, '\p{Latin}') and regexp_matches(x, '[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}]'))) > 0
 """
 
 

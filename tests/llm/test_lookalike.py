@@ -11,6 +11,15 @@ def test_inconsistent(spark, rows):
     assert L.inconsistent(spark, df.limit(0)).count() == 0
 
 
+def test_class_decides(spark):
+    """A format character that the look-alike map leaves alone is nothing to the collation: the shorter member stands for the class, in which case and accents count."""
+    odd = "Caf\u00e9 O\U0001bca0ld"
+    assert L.consistent(odd) == odd
+    df = spark.createDataFrame([(odd,), ("Caf\u00e9 Old",), ("caf\u00e9 old",), ("Cafe\u0300 Old",)], "value string")
+    got = {r["value"]: r["canonical"] for r in L.canonical_values(spark, df).collect()}
+    assert got == {odd: "Caf\u00e9 Old", "Caf\u00e9 Old": "Caf\u00e9 Old", "caf\u00e9 old": "caf\u00e9 old", "Cafe\u0300 Old": "Caf\u00e8 Old"}
+
+
 def test_equal_looking_values_compare_equal(spark):
     df = spark.createDataFrame([(1, "Wһisky", "a"), (2, "Whisky", "b"), (3, "Ｗｈｉｓｋｙ", None), (4, "whisky", None), (5, None, None), (6, "Café", "x"), (7, "Café", "y")], "id int, v string, canonical string")
     got = {r["id"]: r["form"] for r in L.with_consistent(spark, df, "v", "form").collect()}
